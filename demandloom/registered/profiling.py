@@ -163,7 +163,7 @@ def value_counts_items(spark, folder):
 
 def histogram_sql(columns, source, where="true"):
     values = union_all(
-        f"SELECT '{{c}}' AS "column", CAST({{c}} AS DOUBLE) AS value FROM {source} WHERE {where}", columns
+        f"""SELECT '{{c}}' AS "column", CAST({{c}} AS DOUBLE) AS value FROM {source} WHERE {where}""", columns
     )
     return f"""SELECT "column", bin, round(lo + bin * step, 6) AS lower,
         round(CASE WHEN bin = 29 THEN hi ELSE lo + (bin + 1) * step END, 6) AS upper, coalesce(n, 0) AS count
@@ -246,7 +246,7 @@ def corr_matrix(spark, folder):
     "corr_to_target",
     "explored",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS "column", round({CORR.format(a=c, b=LABEL)}, 6) AS corr FROM explored" for c in CORRELATED
+        f"SELECT '{c}' AS \"column\", round({CORR.format(a=c, b=LABEL)}, 6) AS corr FROM explored" for c in CORRELATED
     ),
 )
 def corr_to_target(spark, folder):
