@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from demandloom.operators.features import null_guard
 from demandloom.operators.metrics import fold_maes, fold_metrics, regression_metrics
 from demandloom.operators.ranges import dense_position, kfold_assign, shuffled_position
+from demandloom.session import staged
 
 # Parameters of the published models.
 FOREST_PARAMS = {"trees": 200, "depth": 10, "seed": 42}
@@ -28,6 +30,8 @@ PREDICTION_DIGITS = 2
 # Continuous columns split finer than the library default of 32 candidates.
 MAX_BINS = 256
 FEATURES = "features"
+# Fits of one cross-validation that run side by side.
+FITS_AT_ONCE = 5
 
 
 def forest(
@@ -64,23 +68,28 @@ def train(df: DataFrame, columns: Sequence[str], y: str, estimator) -> PipelineM
 
 
 def scored_folds(
-    df: DataFrame, columns: Sequence[str], y: str, estimator, k: int = FOLDS, key: str = "vehicle_id"
+    df: DataFrame,
+    columns: Sequence[str],
+    y: str,
+    estimator,
+    k: int = FOLDS,
+    key: str = "vehicle_id",
+    parallelism: int = FITS_AT_ONCE,
 ) -> DataFrame:
-    """Every row predicted by the model that was fitted on the other folds: key, fold, y, prediction."""
-    folds = kfold_assign(df.select(key, y, *columns), key, k).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        parts = []
-        for fold in range(k):
-            model = train(folds.where(F.col("fold") != fold), columns, y, estimator)
-            parts.append(
-                model.transform(folds.where(F.col("fold") == fold)).select(
-                    key, "fold", y, "prediction"
-                )
-            )
-        return reduce(DataFrame.unionByName, parts)
-    finally:
-        # Cached blocks only speed up the fits; the result plan reads its input again.
-        folds.unpersist()
+    """Every row predicted by the model fitted on the other folds: key, fold, y, prediction.
+
+    Rows are written once, split by fold, so a fit or a scoring pass opens only the folds it needs.
+    """
+    folds = staged(kfold_assign(df.select(key, y, *columns), key, k), "folds", "fold")
+
+    def fit_and_score(fold: int) -> DataFrame:
+        model = train(folds.where(F.col("fold") != fold), columns, y, estimator)
+        held_out = folds.where(F.col("fold") == fold)
+        return model.transform(held_out).select(key, "fold", y, "prediction")
+
+    with ThreadPool(min(k, parallelism)) as pool:
+        task = inheritable_thread_target(df.sparkSession)(fit_and_score)
+        return reduce(DataFrame.unionByName, pool.map(task, range(k)))
 
 
 def cross_validate(
@@ -98,6 +107,14 @@ def feature_importance(model: PipelineModel, columns: Sequence[str], df: DataFra
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
+def _as_metrics(row: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Columns of a one-row frame as name, value rows."""
+    entries = [
+        F.struct(F.lit(name).alias("name"), F.col(c).alias("value")) for c, name in names.items()
+    ]
+    return row.select(F.inline(F.array(*entries)))
+
+
 def run_metrics(
     df: DataFrame, columns: Sequence[str], y: str, estimator, k: int = FOLDS, key: str = "vehicle_id"
 ) -> tuple[PipelineModel, DataFrame]:
@@ -105,37 +122,22 @@ def run_metrics(
     summary, folds = cross_validate(df, columns, y, estimator, k, key)
     model = train(df, columns, y, estimator)
     fitted = regression_metrics(model.transform(df), y, "prediction")
-    listed = [
-        summary.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("name"), F.col(c).alias("value"))
-                        for c in ("cv_mae_mean", "cv_mae_std")
-                    ]
-                )
-            )
-        ),
-        folds.select(
-            F.concat(F.lit("cv_mae_fold_"), F.col("fold") + 1).alias("name"),
-            F.col("mae").alias("value"),
-        ),
-        fitted.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(f"train_{c}").alias("name"), F.col(c).alias("value"))
-                        for c in ("mae", "rmse", "r2")
-                    ]
-                )
-            )
-        ),
-        feature_importance(model, columns, df).select(
-            F.concat(F.lit("importance_"), "feature").alias("name"),
-            F.col("importance").alias("value"),
-        ),
-    ]
-    return model, reduce(DataFrame.unionByName, listed)
+    importances = feature_importance(model, columns, df)
+    return model, reduce(
+        DataFrame.unionByName,
+        [
+            _as_metrics(summary, {c: c for c in ("cv_mae_mean", "cv_mae_std")}),
+            folds.select(
+                F.concat(F.lit("cv_mae_fold_"), F.col("fold") + 1).alias("name"),
+                F.col("mae").alias("value"),
+            ),
+            _as_metrics(fitted, {c: f"train_{c}" for c in ("mae", "rmse", "r2")}),
+            importances.select(
+                F.concat(F.lit("importance_"), "feature").alias("name"),
+                F.col("importance").alias("value"),
+            ),
+        ],
+    )
 
 
 def permutation_importance(
@@ -155,12 +157,14 @@ def permutation_importance(
     """
     columns = list(columns)
     predictor = model.stages[-1]
-    base = df.select(key, F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double") for c in columns])
+    base = df.select(
+        key, F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double") for c in columns]
+    )
     plain = regression_metrics(model.transform(df), y, "prediction")
-    placed = dense_position(base, key, "__pos")
+    placed = staged(dense_position(base, key, "__pos"), "placed")
     scored = []
     for r in range(repeats):
-        donor = shuffled_position(base, key, seed + r, "__pos").select(
+        donor = shuffled_position(placed.drop("__pos"), key, seed + r, "__pos").select(
             "__pos", *[F.col(c).alias(f"__d_{c}") for c in columns]
         )
         vectors = [

@@ -210,30 +210,43 @@ def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(_pearson(a, b).alias("corr"))
 
 
+def _pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """`a`, `b`, `corr` of each pair, all pairs in one pass.
+
+    A row yields one small record per pair and these are summed up before the shuffle, so the plan
+    stays the same size for any number of columns.
+    """
+    entries = [
+        F.struct(
+            F.lit(a).alias("a"),
+            F.lit(b).alias("b"),
+            as_missing(a).alias("__x"),
+            as_missing(b).alias("__y"),
+        )
+        for a, b in pairs
+    ]
+    return (
+        df.select(F.inline(F.array(*entries)))
+        .groupBy("a", "b")
+        .agg(_pearson("__x", "__y").alias("corr"))
+    )
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, all pairs in one pass: `a`, `b`, `corr`."""
-    pairs = [(c, c) for c in columns] + list(combinations(columns, 2))
-    one = df.agg(*[_pearson(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            rows.append(
-                F.struct(
-                    F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"p{i}").alias("corr")
-                )
-            )
-    return one.select(F.inline(F.array(*rows)))
+    """Pearson correlation of every pair of columns in both orders, and of each with itself."""
+    half = _pair_correlations(df, [(c, c) for c in columns] + list(combinations(columns, 2)))
+    mirrored = F.array(F.struct("a", "b", "corr"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "corr"))
+    once = F.array(F.struct("a", "b", "corr"))
+    return half.select(F.inline(F.when(F.col("a") == F.col("b"), once).otherwise(mirrored)))
 
 
 def corr_to_target(df: DataFrame, columns: Sequence[str], y: str) -> DataFrame:
     """Correlation of every column with the target, itself included, highest first."""
     names = [c for c in columns if c != y] + [y]
-    one = df.agg(*[_pearson(c, y).alias(f"p{i}") for i, c in enumerate(names)])
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"p{i}").alias("corr"))
-        for i, c in enumerate(names)
-    ]
-    return one.select(F.inline(F.array(*rows))).orderBy(F.desc_nulls_last("corr"), "column")
+    rows = _pair_correlations(df, [(c, y) for c in names])
+    return rows.select(F.col("a").alias("column"), "corr").orderBy(
+        F.desc_nulls_last("corr"), "column"
+    )
 
 
 def mean_by_group(df: DataFrame, by: str, y: str, approx: bool = False) -> DataFrame:
@@ -295,8 +308,11 @@ def latency_summary(
         F.col("q2").alias("p99_latency_ms"),
     )
     joined = means.join(spread, by, "left")
+    # Nine places first: a tie in the third must not hang on the last bits of a sum.
     rounded = [
-        F.round(c, LATENCY_DIGITS).alias(c) for c in joined.columns if c.endswith("_ms")
+        F.round(F.round(c, 9), LATENCY_DIGITS).alias(c)
+        for c in joined.columns
+        if c.endswith("_ms")
     ]
     return joined.select(by, "n_iterations", *rounded)
 

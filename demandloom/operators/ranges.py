@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,38 +48,53 @@ def with_ranges(
     return cutter.transform(df)
 
 
-def dense_position(
-    df: DataFrame, key: str, out: str = "position", total: str | None = None, order: Column | None = None
+def _number(
+    ranged: DataFrame, order: Sequence[str], out: str, total: str | None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Number the rows 0..n-1 by a unique numeric key, or by `order` with the key breaking ties.
+    """Position of every row: place inside its range plus the size of all ranges before it.
 
-    Range totals number at most `split_count` + 1, which bounds the broadcast of their offsets.
+    Without groups there are at most `MAX_SPLITS` + 2 range sizes, which bounds the broadcast of the
+    offsets. With groups their number is unknown and Spark picks the join by size.
     """
-    ordered = "__order"
-    base = df.withColumn(ordered, F.col(key) if order is None else order)
-    ranged = with_ranges(base, [ordered], [_RANGE])
-    sizes = ranged.groupBy(_RANGE).agg(F.count(F.lit(1)).alias("__size"))
-    before = W.orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
-    everything = W.orderBy(_RANGE).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    by = list(by)
+    sizes = ranged.groupBy(*by, _RANGE).agg(F.count(F.lit(1)).alias("__size"))
+    group = W.partitionBy(*by)
+    before = group.orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
+    renamed = [F.col(c).alias(f"__g{i}") for i, c in enumerate([*by, _RANGE])]
     offsets = sizes.select(
-        F.col(_RANGE).alias("__of"),
+        *renamed,
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__size").over(everything).alias("__total"),
+        F.sum("__size").over(group).alias("__total"),
     )
-    inside = W.partitionBy(_RANGE).orderBy(ordered, key)
+    same = [F.col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate([*by, _RANGE])]
+    inside = W.partitionBy(*by, _RANGE).orderBy(*order)
     numbered = (
         ranged.withColumn("__inside", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), F.col(_RANGE).eqNullSafe(F.col("__of")))
+        .join(offsets if by else F.broadcast(offsets), same)
         .withColumn(out, F.col("__inside") + F.col("__offset"))
     )
     if total:
         numbered = numbered.withColumn(total, F.col("__total"))
-    return numbered.drop(_RANGE, ordered, "__inside", "__of", "__offset", "__total")
+    helpers = [f"__g{i}" for i in range(len(same))]
+    return numbered.drop(_RANGE, "__inside", "__offset", "__total", *helpers)
+
+
+def dense_position(
+    df: DataFrame, key: str, out: str = "position", total: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Number the rows 0..n-1 in the order of a unique numeric key, anew in every group of `by`."""
+    return _number(with_ranges(df, [key], [_RANGE]), [key], out, total, by)
 
 
 def shuffled_position(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:
-    """A pseudo-random permutation of 0..n-1 that depends only on the keys and the seed."""
-    return dense_position(df, key, out, order=F.xxhash64(F.lit(seed), F.col(key)))
+    """A pseudo-random permutation of 0..n-1 that depends only on the keys and the seed.
+
+    Hashes are spread evenly, so their leading bits serve as ranges without looking at the data.
+    """
+    bits = (split_count(df.sparkSession) - 1).bit_length()
+    mixed = df.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(key)))
+    ranged = mixed.withColumn(_RANGE, F.shiftright("__hash", 64 - bits))
+    return _number(ranged, ["__hash", key], out, None).drop("__hash")
 
 
 def kfold_assign(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from demandloom.operators.features import coerce_types, feature_build, fleet_rows
 from demandloom.schemas import BOOKING_CSV, LISTING, LISTING_CSV, LISTING_VIEW
-from demandloom.session import scratch_path
+from demandloom.session import staged
 from demandloom.sources.online import materialize_arrivals
 from demandloom.sources.tables import append_new, scan_csv, scan_projected, write_offline
 
@@ -42,9 +42,7 @@ def materialize(
     listings = scan_projected(spark, f"{warehouse}/vehicles", LISTING.fieldNames())
     bookings = scan_projected(spark, f"{warehouse}/reservations", BOOKING_CSV.fieldNames())
     built = coerce_types(feature_build(listings, bookings, as_of=as_of), LISTING_VIEW.schema)
-    staged = scratch_path(spark, "features")
-    built.write.parquet(staged)
-    features = spark.read.schema(LISTING_VIEW.schema).parquet(staged)
+    features = staged(built, "features")
     write_offline(fleet_rows(features), offline_path)
     number = int(datetime.now().timestamp() * 1000) if batch is None else batch
     materialize_arrivals(features, online_path, "backfill", number)

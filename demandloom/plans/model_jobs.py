@@ -22,7 +22,7 @@ from demandloom.operators.models import (
 from demandloom.operators.registry import CANDIDATE, COMPARED_METRIC, promote
 from demandloom.operators.stores import online_lookup
 from demandloom.schemas import LISTING_VIEW
-from demandloom.session import scratch_path
+from demandloom.session import staged
 from demandloom.sources.events import to_events, write_events
 from demandloom.sources.registry import Registry
 from demandloom.sources.tables import scan_offline
@@ -84,9 +84,7 @@ def promote_models(
         explicit,
         candidate_alias,
     )
-    path = scratch_path(spark, "decisions")
-    decided.write.parquet(path)
-    decisions = spark.read.parquet(path)
+    decisions = staged(decided, "decisions")
     registry.apply(decisions)
     if events_path is not None:
         moved = decisions.where("promoted").selectExpr(

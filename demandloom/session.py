@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Cut points are held by the driver and offsets are broadcast, so their number has a bound.
+MAX_SPLITS = 16_384
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -48,7 +51,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/demandloom/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write a frame below the shared folder and read it back.
+
+    Used where several jobs read one intermediate result: it is computed once, its plan ends at the
+    written files, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = scratch_path(df.sparkSession, name)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
+    schema = df.schema
+    read = df.sparkSession.read.schema(schema).parquet(path)
+    return read.select(*schema.fieldNames())
+
+
 def split_count(spark: SparkSession) -> int:
     """How many value ranges a global order is cut into: follows the shuffle width, bounded."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(64, min(4096, 4 * width))
+    return max(64, min(MAX_SPLITS, 4 * width))

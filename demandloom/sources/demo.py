@@ -3,7 +3,7 @@ customers model versions, events latencies and messages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions import price_diff_of, price_ratio_of
@@ -75,17 +75,23 @@ def explored(spark: SparkSession, folder: str) -> DataFrame:
 
 def latencies(spark: SparkSession, folder: str) -> DataFrame:
     """The n-th feature and n-th predict sample of two sources, as far as both have samples."""
-    events = table(spark, folder, "events")
-
-    def samples(kind: str, name: str) -> DataFrame:
-        chosen = events.where(F.col("event_type") == kind).select("event_id", F.col("value").alias(name))
-        return dense_position(chosen, "event_id", "iteration").drop("event_id")
-
-    def source(name: str, feature_kind: str, predict_kind: str) -> DataFrame:
-        pairs = samples(feature_kind, "feature_ms").join(samples(predict_kind, "predict_ms"), "iteration")
-        return pairs.withColumn("source", F.lit(name))
-
-    return source("raw", "click", "view").unionByName(source("online_store", "purchase", "signup"))
+    events = table(spark, folder, "events").select("event_id", "event_type", "value")
+    numbered = dense_position(events, "event_id", "iteration", by=["event_type"])
+
+    def sample(kind: str) -> Column:
+        return F.max(F.when(F.col("event_type") == kind, F.col("value")))
+
+    def timing(source: str, feature: str, predict: str) -> Column:
+        return F.struct(
+            F.lit(source).alias("source"),
+            F.col(feature).alias("feature_ms"),
+            F.col(predict).alias("predict_ms"),
+        )
+
+    kinds = ["click", "view", "purchase", "signup"]
+    wide = numbered.groupBy("iteration").agg(*[sample(k).alias(k) for k in kinds])
+    pairs = F.array(timing("raw", "click", "view"), timing("online_store", "purchase", "signup"))
+    return wide.select("iteration", F.inline(pairs)).dropna()
 
 
 def _model(key: str = "c_custkey"):
