@@ -144,8 +144,9 @@ def asof_features(
     features = list(features)
     value = F.struct(F.col(ts).alias("__fts"), *features)
     # Label instants first: many labels of one key at one time need one lookup only.
-    instants = labels.select(key, ts).dropna().distinct()
-    known = latest_per_key(history.dropna(subset=[key, ts]), [key, ts], *(newest or features))
+    placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    instants = labels.where(placed).select(key, ts).distinct()
+    known = latest_per_key(history.where(placed), [key, ts], *(newest or features))
     stored = known.select(key, ts, value.alias("__row"), F.lit(0).alias("__kind"))
     nothing = F.lit(None).cast(stored.schema["__row"].dataType)
     asked = instants.select(key, ts, nothing.alias("__row"), F.lit(1).alias("__kind"))
