@@ -8,6 +8,7 @@ and the few range totals are prefix-summed on their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -32,7 +33,11 @@ def cut_points(df: DataFrame, columns: Sequence[str], pieces: int | None = None)
             for i, c in enumerate(columns)
         ]
     ).first()
-    return [sorted(set(found[f"c{i}"] or [])) for i in range(len(columns))]
+    # One cut is the least there can be; where there are no values any will do.
+    return [
+        sorted({x for x in found[f"c{i}"] or [] if math.isfinite(x)}) or [0.0]
+        for i in range(len(columns))
+    ]
 
 
 def with_ranges(
