@@ -71,8 +71,7 @@ def money_label(diff: Column | str) -> Column:
 
 def zero_filled(count: Column | str, source: Column | str, observed: Sequence[str]) -> Column:
     """Missing counts become 0 for observed sources and stay NULL for the others."""
-    count = _col(count)
-    return F.when(_col(source).isin(*observed), F.coalesce(count, F.lit(0))).otherwise(count)
+    return F.coalesce(_col(count), F.when(_col(source).isin(*observed), F.lit(0)))
 
 
 def as_missing(value: Column | str) -> Column:

@@ -22,6 +22,8 @@ from demandloom.schemas import FeatureView
 
 # Rows of this source have a complete history, so "no bookings" is a real zero.
 OBSERVED_SOURCES = ("csv",)
+# Fixed value: rows a client may send for scoring in one request.
+REQUEST_LIMIT = 1000
 
 
 def count_per_key(facts: DataFrame, key: str, out: str = "n") -> DataFrame:
@@ -143,6 +145,19 @@ def null_guard(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFr
     return df.where(complete), df.where(~complete)
 
 
+def batch_limit_guard(
+    requests: DataFrame, rows: DataFrame, key: str, limit: int = REQUEST_LIMIT
+) -> DataFrame:
+    """Size of every scoring request and the answer a client with a row limit would get.
+
+    A report only: scoring itself takes any number of rows and gives no rows for none.
+    """
+    size = F.col("size")
+    answer = F.when(size == 0, "empty").when(size <= limit, "accepted").otherwise("too large")
+    sized = left_join_counts(requests, rows, key, "size").withColumn("size", F.coalesce("size", F.lit(0)))
+    return sized.withColumn("answer", answer)
+
+
 def add_missing_column(df: DataFrame, column: str, default: object) -> DataFrame:
     """Add a column an older table lacks; NULLs of merged schemas take the default too."""
     if column not in df.columns:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions import as_missing, week_ending_sunday
-from demandloom.operators.ranges import exact_quantiles
+from demandloom.operators.ranges import exact_quantiles, with_ranges
 
 # Shape of the summaries.
 QUARTILES = (0.25, 0.5, 0.75)
@@ -180,15 +180,13 @@ def box_stats(df: DataFrame, by: str, y: str, approx: bool = False) -> DataFrame
         by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     reach = WHISKER * (F.col("q3") - F.col("q1"))
-    values = (
-        df.select(by, as_missing(y).alias("__y"))
-        .dropna()
-        .groupBy(by, "__y")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+    ranged = with_ranges(df.select(by, as_missing(y).alias("__y")).dropna(), ["__y"], ["__range"])
+    values = ranged.groupBy(by, "__range", "__y").agg(F.count(F.lit(1)).alias("__c"))
+    # Values meet their box by group and range, so a dominant group is not joined in one task.
+    spread = values.select(by, "__range").distinct().join(boxes, by)
     inside = F.col("__y").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        values.join(boxes, by)
+        values.join(spread, [by, "__range"])
         .groupBy(by, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("__y"))).alias("whisker_low"),

@@ -59,7 +59,7 @@ def resolve_features(
     newest: str | None = "event_timestamp",
     drop_unresolved: bool = False,
 ) -> DataFrame:
-    """Features per id from the offline store first, then the online store.
+    """One row per distinct id: its features from the offline store first, then the online store.
 
     `store` says where a row came from (`offline`, `online`, `none`). An online row without its first
     feature counts as unknown. `online=None` is the degraded mode without an online store; with
@@ -71,7 +71,8 @@ def resolve_features(
         rows = latest_per_key(store, key, newest) if newest else store
         return rows.select(key, F.struct(*features).alias(name))
 
-    found = ids.select(key).join(side(offline, "__off"), key, "left")
+    # Repeated ids go first: this shuffle is the one the joins need, and none of them meets a hot id.
+    found = ids.select(key).distinct().join(side(offline, "__off"), key, "left")
     if online is None:
         found = found.withColumn("__on", F.lit(None).cast(found.schema["__off"].dataType))
     else:

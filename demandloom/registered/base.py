@@ -22,15 +22,15 @@ TABLES = {
         FROM part""",
     "bookings": """SELECT l_partkey AS vehicle_id, l_shipdate AS created_at FROM lineitem
         WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-01-01 00:00:00'""",
-    "counts": "SELECT vehicle_id, count(*) AS cnt FROM bookings GROUP BY vehicle_id",
-    "catalog": """SELECT l.*, CASE WHEN source = 'csv' THEN coalesce(cnt, 0) ELSE cnt END AS num_reservations,
+    "counts": "SELECT vehicle_id, count(*) AS booked FROM bookings GROUP BY ALL",
+    "catalog": """SELECT l.*, coalesce(booked, CASE source WHEN 'csv' THEN 0 END) AS num_reservations,
         actual_price - recommended_price AS price_diff
         FROM listings l LEFT JOIN counts USING (vehicle_id)""",
     "features": """SELECT vehicle_id, technology, num_images, street_parked, description, price_diff,
         num_reservations FROM catalog""",
     "offline": "SELECT * FROM features WHERE num_reservations IS NOT NULL",
     "online": "SELECT * FROM features WHERE num_reservations IS NULL AND num_images >= 3",
-    "explored": """SELECT l.*, coalesce(cnt, 0) AS num_reservations,
+    "explored": """SELECT l.*, coalesce(booked, 0) AS num_reservations,
         actual_price - recommended_price AS price_diff, actual_price / recommended_price AS price_ratio
         FROM listings l LEFT JOIN counts USING (vehicle_id)""",
     "resolved": """SELECT l.vehicle_id,

@@ -112,8 +112,8 @@ def feature_build(spark, folder):
     "listings",
     """SELECT l.vehicle_id, technology, num_images, street_parked, description,
        actual_price - recommended_price AS price_diff,
-       CASE WHEN source = 'csv' THEN coalesce(cnt, 0) ELSE cnt END AS num_reservations
-       FROM listings l LEFT JOIN (SELECT l_partkey, count(*) AS cnt FROM lineitem GROUP BY l_partkey)
+       coalesce(sold, CASE source WHEN 'csv' THEN 0 END) AS num_reservations
+       FROM listings l LEFT JOIN (SELECT l_partkey, count(*) AS sold FROM lineitem GROUP BY ALL)
        ON l_partkey = l.vehicle_id""",
 )
 def feature_build_all_items(spark, folder):
@@ -331,6 +331,19 @@ def delete_report(spark, folder):
     return catalog.delete_new_arrival(demo.listings(spark, folder), ids)[1]
 
 
+@query(
+    "batch_limit_guard",
+    "",
+    """SELECT c_custkey AS request, coalesce(n, 0) AS size, CASE WHEN n IS NULL THEN 'empty'
+       WHEN n <= 1000 THEN 'accepted' ELSE 'too large' END AS answer
+       FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY ALL) ON user_id = c_custkey""",
+)
+def batch_limit_guard(spark, folder):
+    requests = demo.table(spark, folder, "customer").select(F.col("c_custkey").alias("request"))
+    asked = demo.table(spark, folder, "events").select(F.col("user_id").alias("request"))
+    return feat.batch_limit_guard(requests, asked, "request")
+
+
 @query("add_missing_column", "listings", "SELECT vehicle_id, 'csv' AS source FROM listings")
 def add_missing_column(spark, folder):
     old = demo.listings(spark, folder).drop("source")

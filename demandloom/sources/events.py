@@ -42,6 +42,12 @@ def stream_messages(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.load(path)
 
 
+def stream_topic(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """Messages of a Kafka topic; `options` are those of Spark's Kafka source, which brings its own jar."""
+    stream = spark.readStream.format("kafka").options(**options).load()
+    return stream.select(F.col("value").cast("string"))
+
+
 def decode(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Payload fields beside the raw message; `__broken` holds text that does not fit the schema."""
     with_broken = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])

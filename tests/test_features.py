@@ -135,3 +135,13 @@ def test_zip_add_refuses_unequal_lengths(spark):
     uneven = spark.createDataFrame([([1.0], [3.0, 4.0])], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="differ in length"):
         uneven.select(zipped_sum("a", "b")).collect()
+
+
+def test_request_sizes(spark):
+    requests = spark.createDataFrame([(1,), (2,), (3,)], "request long")
+    asked = spark.range(1004).select(F.when(F.col("id") < 1001, 1).otherwise(2).cast("long").alias("request"))
+    assert rows(feat.batch_limit_guard(requests, asked, "request")) == [
+        (1, 1001, "too large"),
+        (2, 3, "accepted"),
+        (3, 0, "empty"),
+    ]

@@ -57,6 +57,11 @@ def test_resolution_order_and_unknown_ids(spark):
     assert tuple(stores.store_coverage(got).first()) == (2, 1, 2, 5)
 
 
+def test_an_id_asked_twice_resolves_once(spark):
+    got = stores.resolve_features(ids(spark, 1, 1, 2, 2), feature_rows(spark, 1), None)
+    assert rows(got, "vehicle_id", "store") == [(1, "offline"), (2, "none")]
+
+
 def test_a_key_stored_twice_resolves_once(spark):
     twice = feature_rows(spark, 1, gap=1.0).unionByName(
         feature_rows(spark, 1, gap=2.0, stamp=T0 + timedelta(days=1))
