@@ -24,9 +24,13 @@ def write_online(df: DataFrame, path: str, writer: str, batch: int) -> None:
 
 
 def read_online(
-    spark: SparkSession, path: str, view: FeatureView = LISTING_VIEW
+    spark: SparkSession, path: str, view: FeatureView = LISTING_VIEW, ids: DataFrame | None = None
 ) -> DataFrame:
-    """The newest row of every key; on equal stamps the later batch of a writer goes first."""
+    """The newest row of every key, or of the given ids only.
+
+    On equal stamps the later batch of a writer goes first. Ids are matched before the newest row is
+    looked for, so a lookup of few ids sorts few rows.
+    """
     layout = T.StructType(
         [
             *view.schema.fields,
@@ -35,6 +39,8 @@ def read_online(
         ]
     )
     rows = spark.read.schema(layout).parquet(path)
+    if ids is not None:
+        rows = rows.join(ids.select(view.key), view.key, "left_semi")
     newest = latest_per_key(rows, view.key, view.timestamp, "batch", "writer")
     return newest.select(*view.schema.fieldNames())
 

@@ -47,8 +47,14 @@ def scan_offline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_offline(df: DataFrame, path: str) -> None:
-    """Replace the offline store."""
+def write_offline(df: DataFrame, path: str, order: str | None = None) -> None:
+    """Replace the offline store.
+
+    With `order` its files hold separate ranges of that column, so a lookup by it can skip most of
+    them by their statistics. That costs one shuffle of the store.
+    """
+    if order is not None:
+        df = df.repartitionByRange(order).sortWithinPartitions(order)
     df.write.mode("overwrite").parquet(path)
 
 

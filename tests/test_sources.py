@@ -68,6 +68,8 @@ def test_offline_round_trip_replaces(spark, listings):
     write_offline(listings.where("vehicle_id > 1"), path)
     assert rows(scan_offline(spark, path), "vehicle_id") == [(2,), (3,)]
     assert scan_projected(spark, path, ["description"]).columns == ["description"]
+    write_offline(listings, path, order="vehicle_id")
+    assert rows(scan_offline(spark, path), "vehicle_id") == [(1,), (2,), (3,)]
     stats = file_stats(scan_offline(spark, path)).first()
     assert stats.files >= 1 and stats.size_bytes > 0 and stats.last_modified is not None
 
@@ -99,6 +101,8 @@ def test_online_writes_replace_and_repeat_safely(spark):
     online.write_online(stored(spark, (2, 6.0, None), hours=1), path, "events", 1)
     want = [(1, 1.0), (2, 6.0)]
     assert rows(online.read_online(spark, path), "vehicle_id", "price_diff") == want
+    asked = spark.createDataFrame([(2,), (9,)], "vehicle_id long")
+    assert rows(online.read_online(spark, path, ids=asked), "vehicle_id", "price_diff") == [(2, 6.0)]
     target = scratch_path(spark, "online")
     compacted = online.compact_online(spark, path, target)
     assert rows(compacted, "vehicle_id", "price_diff") == want
