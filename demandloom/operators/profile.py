@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from demandloom.functions import as_missing, week_ending_sunday
-from demandloom.operators.ranges import exact_quantiles, with_ranges
+from demandloom.operators.ranges import counted_values, exact_quantiles, quantiles_of_counts
 
 # Shape of the summaries.
 QUARTILES = (0.25, 0.5, 0.75)
@@ -174,23 +174,22 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS)
     )
 
 
-def box_stats(df: DataFrame, by: str, y: str, approx: bool = False) -> DataFrame:
+def box_stats(df: DataFrame, by: str, y: str) -> DataFrame:
     """Quartiles, whiskers (outermost points inside the fences) and outlier count per group."""
-    boxes = quantiles(df, [y], QUARTILES, [by], approx).select(
+    values = counted_values(df, [y], [by])
+    boxes = quantiles_of_counts(values, [y], QUARTILES, [by]).select(
         by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
     )
     reach = WHISKER * (F.col("q3") - F.col("q1"))
-    ranged = with_ranges(df.select(by, as_missing(y).alias("__y")).dropna(), ["__y"], ["__range"])
-    values = ranged.groupBy(by, "__range", "__y").agg(F.count(F.lit(1)).alias("__c"))
     # Values meet their box by group and range, so a dominant group is not joined in one task.
     spread = values.select(by, "__range").distinct().join(boxes, by)
-    inside = F.col("__y").between(F.col("q1") - reach, F.col("q3") + reach)
+    inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
         values.join(spread, [by, "__range"])
         .groupBy(by, "n", "q1", "median", "q3")
         .agg(
-            F.min(F.when(inside, F.col("__y"))).alias("whisker_low"),
-            F.max(F.when(inside, F.col("__y"))).alias("whisker_high"),
+            F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("value"))).alias("whisker_high"),
             F.coalesce(F.sum(F.when(~inside, F.col("__c"))), F.lit(0)).alias("outliers"),
         )
     )

@@ -116,18 +116,13 @@ def kfold_assign(df: DataFrame, key: str, k: int = 5, out: str = "fold") -> Data
     return numbered.withColumn(out, fold.cast("int")).drop("__pos", "__n")
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    pieces: int | None = None,
+def counted_values(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), pieces: int | None = None
 ) -> DataFrame:
-    """Linearly interpolated quantiles of each column per group, exact at any group size.
+    """How often each present value occurs per group, with the range it falls in.
 
-    One row per group and column: `by`..., `column`, `n`, `q0`, `q1`, ... Rows without a group are left
-    out. Equal values are counted first and the rest is cut into ranges, so no task ever holds a whole
-    group; only the ranges that hold a wanted rank are sorted.
+    One row per `by`..., `__col` (number of the column), `__range` and `value`; rows without a group
+    are left out. Equal values are counted before the shuffle.
     """
     by = list(by)
     names = [f"__r{i}" for i in range(len(columns))]
@@ -139,15 +134,40 @@ def exact_quantiles(
         F.struct(F.lit(i).alias("__col"), F.col(c).alias("value"), F.col(r).alias(_RANGE))
         for i, (c, r) in enumerate(zip(columns, names))
     ]
-    # The column goes by its number until the end: fixed-width keys aggregate faster.
-    group = [*by, "__col"]
-    counted = (
+    # The column goes by its number: fixed-width keys aggregate faster. Both conditions are stated,
+    # so that several uses of the counts in one query share one shuffle.
+    return (
         ranged.select(*by, F.inline(F.array(*entries)))
-        # Both are stated, so that the two uses of the counts below share one shuffle.
         .where(F.col("value").isNotNull() & F.col(_RANGE).isNotNull())
-        .groupBy(*group, _RANGE, "value")
+        .groupBy(*by, "__col", _RANGE, "value")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probabilities: Sequence[float],
+    by: Sequence[str] = (),
+    pieces: int | None = None,
+) -> DataFrame:
+    """Linearly interpolated quantiles of each column per group, exact at any group size.
+
+    One row per group and column: `by`..., `column`, `n`, `q0`, `q1`, ...
+    """
+    return quantiles_of_counts(counted_values(df, columns, by, pieces), columns, probabilities, by)
+
+
+def quantiles_of_counts(
+    counted: DataFrame, columns: Sequence[str], probabilities: Sequence[float], by: Sequence[str] = ()
+) -> DataFrame:
+    """`exact_quantiles` over the result of `counted_values`.
+
+    Only the ranges that hold a wanted rank are sorted, each in a window of its own, so no task ever
+    holds a whole group.
+    """
+    by = list(by)
+    group = [*by, "__col"]
     before = W.partitionBy(*group).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
     cells = (
         counted.groupBy(*group, _RANGE)

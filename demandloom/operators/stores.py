@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,9 @@ from demandloom.functions import batch_time, micros_of
 from demandloom.operators.ranges import with_ranges
 from demandloom.schemas import LISTING_VIEW
 
+# A key with fewer rows is left to one task.
+DOMINANT_ROWS = 1_000_000
+
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], *newest: str) -> DataFrame:
     """The newest row of every key, by the given columns in turn.
@@ -125,6 +129,24 @@ def purge_online(online: DataFrame, entities: DataFrame, key: str = "vehicle_id"
     return online.join(entities.select(key), key, "left_semi")
 
 
+def dominant_keys(sides: Sequence[DataFrame], key: str, at_least: int | None = None) -> list:
+    """Keys that hold so many rows of both sides together that one task should not take them whole.
+
+    The bar is a quarter of an even share per shuffle task, and a million rows at least, so there are
+    at most four such keys per task.
+    """
+    spark = sides[0].sparkSession
+    keys = reduce(DataFrame.unionByName, [side.select(key) for side in sides])
+    counted = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    size = counted.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+    if at_least is None:
+        share = (size["rows"] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        at_least = max(DOMINANT_ROWS, share)
+    if (size["largest"] or 0) < at_least:
+        return []
+    return [r[key] for r in counted.where(F.col("n") >= at_least).collect()]
+
+
 def asof_features(
     labels: DataFrame,
     history: DataFrame,
@@ -134,55 +156,91 @@ def asof_features(
     ttl_days: int = LISTING_VIEW.ttl_days,
     newest: Sequence[str] = (),
     feature_ts: str = "feature_ts",
+    dominant_rows: int | None = None,
 ) -> DataFrame:
     """Label rows with the latest feature row at or before their time, within the life time.
 
-    Time is cut into ranges of about equal row counts, so the rows of a dominant key are spread over
-    many tasks. What a range needs from earlier ones is a single row per key: the newest feature row
-    before it, carried over from the range summaries. A NULL feature of the newest row stays NULL.
-    `newest` orders feature rows of the same key and time; their values do when it is not given.
+    Keys of ordinary size take one shuffle and one window. Dominant keys are cut up by time, see
+    `_asof_over_ranges`. A NULL feature of the newest row stays NULL. `newest` orders feature rows of
+    the same key and time; their values do when it is not given.
     """
     features = list(features)
-    value = F.struct(F.col(ts).alias("__fts"), *features)
-    # Label instants first: many labels of one key at one time need one lookup only.
     placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    instants = labels.where(placed).select(key, ts).distinct()
-    known = latest_per_key(history.where(placed), [key, ts], *(newest or features))
-    stored = known.select(key, ts, value.alias("__row"), F.lit(0).alias("__kind"))
-    nothing = F.lit(None).cast(stored.schema["__row"].dataType)
-    asked = instants.select(key, ts, nothing.alias("__row"), F.lit(1).alias("__kind"))
-    points = stored.unionByName(asked)
-    points = points.withColumn("__sec", micros_of(ts, points.schema[ts].dataType))
-    ranged = with_ranges(points, ["__sec"], ["__range"])
-    summary = ranged.groupBy(key, "__range").agg(
-        F.max_by("__row", F.when(F.col("__kind") == 0, F.col("__sec"))).alias("__last"),
-        F.min("__sec").alias("__first"),
-        F.max("__kind").alias("__asked"),
+    known = history.where(placed)
+    row = F.struct(F.col(ts).alias("__fts"), *features)
+    stored = known.select(key, ts, row.alias("__row"), F.struct(*(newest or features)).alias("__tie"))
+    asked = labels.where(placed)
+    hot = dominant_keys([asked, stored], key, dominant_rows)
+    usual = ~F.col(key).isin(hot) if hot else F.lit(True)
+    parts = [_asof_within_key(asked.where(usual), stored.where(usual), key, ts)]
+    if hot:
+        parts.append(_asof_over_ranges(asked.where(~usual), stored.where(~usual), key, ts))
+    parts.append(labels.where(~placed).withColumn("__hit", _nothing(stored, "__row")))
+    alive = F.col("__hit.__fts") > F.col(ts) - F.make_dt_interval(days=F.lit(ttl_days))
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("__hit", F.when(alive, F.col("__hit")))
+        .withColumn(feature_ts, F.col("__hit.__fts"))
+        .withColumns({f: F.col(f"__hit.{f}") for f in features})
+        .drop("__hit")
     )
-    earlier = W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    carried = (
-        summary.withColumn("__row", F.last("__last", ignorenulls=True).over(earlier))
-        .where((F.col("__asked") == 1) & F.col("__row").isNotNull())
-        .select(key, "__range", "__row", F.lit(-1).alias("__kind"), F.col("__first").alias("__sec"))
+
+
+def _nothing(df: DataFrame, column: str) -> Column:
+    return F.lit(None).cast(df.schema[column].dataType)
+
+
+def _asof_within_key(labels: DataFrame, stored: DataFrame, key: str, ts: str) -> DataFrame:
+    """Labels and feature rows of a key in one window by time, feature rows first."""
+    label = F.struct(*labels.columns)
+    asked = labels.select(key, ts, label.alias("__label"))
+    merged = stored.unionByName(asked, allowMissingColumns=True)
+    upto = (
+        W.partitionBy(key)
+        .orderBy(ts, F.col("__label").isNotNull(), "__tie")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    answered = merged.withColumn("__hit", F.last("__row", ignorenulls=True).over(upto))
+    return answered.where(F.col("__label").isNotNull()).select("__label.*", "__hit")
+
+
+def _asof_over_ranges(labels: DataFrame, stored: DataFrame, key: str, ts: str) -> DataFrame:
+    """The same for keys too large for one task.
+
+    Time is cut into ranges of about equal row counts. What a range needs from earlier ones is one row
+    per key: the newest feature row before it, carried over from the range summaries. Labels and
+    feature rows of one key and time are folded into one instant first, so ties cannot pile up either.
+    """
+    both = stored.withColumn("__asked", F.lit(0)).unionByName(
+        labels.select(key, ts, F.lit(1).alias("__asked")), allowMissingColumns=True
+    )
+    placed = both.withColumn("__at", micros_of(ts, both.schema[ts].dataType))
+    instants = (
+        with_ranges(placed, ["__at"], ["__range"])
+        .groupBy(key, "__range", "__at", ts)
+        .agg(F.max_by("__row", "__tie").alias("__row"), F.max("__asked").alias("__asked"))
+    )
+    summary = instants.groupBy(key, "__range").agg(
+        F.max_by("__row", F.when(F.col("__row").isNotNull(), F.col("__at"))).alias("__last"),
+        F.min("__at").alias("__at"),
     )
-    merged = ranged.select(key, "__range", "__row", "__kind", "__sec", ts).unionByName(
-        carried, allowMissingColumns=True
+    earlier = W.partitionBy(key).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    carried = summary.select(
+        key,
+        "__range",
+        "__at",
+        F.last("__last", ignorenulls=True).over(earlier).alias("__row"),
+        F.lit(-1).alias("__asked"),
     )
     upto = (
         W.partitionBy(key, "__range")
-        .orderBy("__sec", "__kind")
+        .orderBy("__at", "__asked")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     answered = (
-        merged.withColumn("__hit", F.last("__row", ignorenulls=True).over(upto))
-        .where(F.col("__kind") == 1)
+        instants.unionByName(carried, allowMissingColumns=True)
+        .withColumn("__hit", F.last("__row", ignorenulls=True).over(upto))
+        .where(F.col("__asked") == 1)
         .select(key, ts, "__hit")
     )
-    alive = F.col("__hit.__fts") > F.col(ts) - F.make_dt_interval(days=F.lit(ttl_days))
-    return (
-        labels.join(answered, [key, ts], "left")
-        .withColumn("__hit", F.when(alive, F.col("__hit")))
-        .withColumn(feature_ts, F.col("__hit.__fts"))
-        .withColumns({f: F.col(f"__hit.{f}") for f in features})
-        .drop("__hit")
-    )
+    return labels.join(answered, [key, ts], "left")

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -118,35 +119,47 @@ def brute_asof(labels, history, ttl):
     return sorted(out, key=repr)
 
 
-def test_asof_equals_brute_force_with_a_dominant_key(spark):
-    for seed, hot in ((1, 0.0), (2, 0.6), (3, 0.95)):
-        labels, history = asof_case(seed, 300, 400, hot)
-        got = stores.asof_features(
-            spark.createDataFrame(labels, "lid long, k long, ts timestamp"),
-            spark.createDataFrame(history, "k long, ts timestamp, hid long, v double"),
-            "k",
-            "ts",
-            ["hid", "v"],
-            ttl_days=1,
-            newest=["hid"],
-        )
-        assert rows(got, "lid", "hid", "v") == brute_asof(labels, history, timedelta(days=1))
+@pytest.mark.parametrize("dominant_rows", [None, 1, 150])
+@pytest.mark.parametrize("seed,hot", [(1, 0.0), (2, 0.6), (3, 0.95)])
+def test_asof_equals_brute_force_with_a_dominant_key(spark, seed, hot, dominant_rows):
+    labels, history = asof_case(seed, 300, 400, hot)
+    got = stores.asof_features(
+        spark.createDataFrame(labels, "lid long, k long, ts timestamp"),
+        spark.createDataFrame(history, "k long, ts timestamp, hid long, v double"),
+        "k",
+        "ts",
+        ["hid", "v"],
+        ttl_days=1,
+        newest=["hid"],
+        dominant_rows=dominant_rows,
+    )
+    assert rows(got, "lid", "hid", "v") == brute_asof(labels, history, timedelta(days=1))
 
 
-def test_asof_keeps_labels_without_time_and_repeated_labels(spark):
+@pytest.mark.parametrize("dominant_rows", [None, 1])
+def test_asof_keeps_labels_without_time_and_repeated_labels(spark, dominant_rows):
     labels = spark.createDataFrame(
         [(1, 1, T0), (2, 1, T0), (3, 1, None), (4, None, T0)], "lid long, k long, ts timestamp"
     )
     history = spark.createDataFrame([(1, T0, 9.0), (None, T0, 1.0)], "k long, ts timestamp, v double")
-    got = stores.asof_features(labels, history, "k", "ts", ["v"])
+    got = stores.asof_features(labels, history, "k", "ts", ["v"], dominant_rows=dominant_rows)
     assert rows(got, "lid", "v") == [(1, 9.0), (2, 9.0), (3, None), (4, None)]
 
 
 def test_asof_spreads_a_dominant_key_over_ranges(spark):
     labels = spark.range(20_000).selectExpr("id", "1L as k", "timestamp_seconds(1700000000 + id * 7) as ts")
     history = spark.range(20_000).selectExpr("1L as k", "timestamp_seconds(1700000000 + id * 7 - 3) as ts", "id as v")
-    got = stores.asof_features(labels, history, "k", "ts", ["v"])
+    got = stores.asof_features(labels, history, "k", "ts", ["v"], dominant_rows=1000)
     assert got.where("v = id").count() == 20_000
+    tasks = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
+def test_dominant_keys_are_found_by_their_share(spark):
+    side = spark.range(100).select(F.when(F.col("id") < 40, 7).otherwise(F.col("id")).alias("k"))
+    assert stores.dominant_keys([side, side], "k") == []
+    assert stores.dominant_keys([side, side], "k", 80) == [7]
+    assert stores.dominant_keys([side.limit(0)], "k", 1) == []
 
 
 def test_latest_per_key_matches_pandas(spark, folder):
