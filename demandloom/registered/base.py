@@ -43,15 +43,15 @@ TABLES = {
         coalesce(o.description, n.description) AS description,
         coalesce(o.price_diff, n.price_diff) AS price_diff
         FROM listings l LEFT JOIN offline o USING (vehicle_id) LEFT JOIN online n USING (vehicle_id)""",
-    "registry_versions": """SELECT 'model_' || (c_custkey % 50) AS model_name, c_custkey % 50 AS m,
-        c_custkey AS version, 'run_' || c_custkey AS run_id,
+    "registry_versions": """SELECT 'model_' || c_nationkey || '_' || lower(c_mktsegment) AS model_name,
+        c_custkey AS version, 'run_' || c_custkey AS run_id, c_acctbal AS balance,
         CASE WHEN c_acctbal >= 1000 THEN c_acctbal END AS metric, c_acctbal / 8 AS train_mae,
         c_mktsegment AS segment, c_name AS account, c_nationkey AS nation FROM customer""",
     "candidates": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS r
         FROM registry_versions) WHERE r = 1""",
-    "champions": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name
-        ORDER BY CASE WHEN m % 11 = 5 THEN -version ELSE version END) AS r
-        FROM registry_versions WHERE m % 7 <> 0) WHERE r = 1""",
+    "champions": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS r
+        FROM registry_versions WHERE segment = 'BUILDING' OR (segment <> 'AUTOMOBILE' AND (balance < 1000 OR balance > 7000)))
+        WHERE r = 1""",
     "samples": """SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS iteration
         FROM events""",
     "latencies": """SELECT 'raw' AS source, iteration, f.value AS feature_ms, p.value AS predict_ms

@@ -94,12 +94,13 @@ def latencies(spark: SparkSession, folder: str) -> DataFrame:
     return wide.select("iteration", F.inline(pairs)).dropna()
 
 
-def _model(key: str = "c_custkey"):
-    return F.concat(F.lit("model_"), F.col(key) % 50)
+def _model() -> Column:
+    """Customers of one nation and market segment are the versions of one model."""
+    return F.concat_ws("_", F.lit("model"), "c_nationkey", F.lower("c_mktsegment"))
 
 
-def _moment(key: str = "c_custkey"):
-    return F.timestamp_seconds(F.lit(1_000_000_000) + F.col(key))
+def _moment() -> Column:
+    return F.timestamp_seconds(F.lit(1_000_000_000) + F.col("c_custkey"))
 
 
 def versions(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,28 +114,22 @@ def versions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def aliases(spark: SparkSession, folder: str) -> DataFrame:
-    """Every version was the candidate once; the champion is missing, the newest or the oldest."""
-    known = table(spark, folder, "customer").select(
-        _model().alias("model_name"),
-        (F.col("c_custkey") % 50).alias("__m"),
-        F.col("c_custkey").alias("version"),
-        _moment().alias("assigned_at"),
-    )
-    columns = ["model_name", "alias", "version", "assigned_at"]
-    candidates = known.withColumn("alias", F.lit("candidate")).select(*columns)
-    newest = known.where((F.col("__m") % 7 != 0) & (F.col("__m") % 11 == 5))
-    oldest = (
-        known.where((F.col("__m") % 7 != 0) & (F.col("__m") % 11 != 5))
-        .groupBy("model_name")
-        .agg(F.min("version").alias("version"), F.min("assigned_at").alias("assigned_at"))
-    )
-    champions = (
-        newest.select("model_name", "version", "assigned_at")
-        .unionByName(oldest)
-        .withColumn("alias", F.lit("champion"))
-        .select(*columns)
-    )
-    return candidates.unionByName(champions)
+    """Every version was the candidate once. Automobile models never had a champion, every building
+    version became one, and of the others those with a high error or without one did."""
+    customer = table(spark, folder, "customer")
+    segment = F.col("c_mktsegment")
+    outlying = (F.col("c_acctbal") < 1000) | (F.col("c_acctbal") > 7000)
+    was_champion = (segment != "AUTOMOBILE") & ((segment == "BUILDING") | outlying)
+
+    def assigned(rows: DataFrame, alias: str) -> DataFrame:
+        return rows.select(
+            _model().alias("model_name"),
+            F.lit(alias).alias("alias"),
+            F.col("c_custkey").alias("version"),
+            _moment().alias("assigned_at"),
+        )
+
+    return assigned(customer, "candidate").unionByName(assigned(customer.where(was_champion), "champion"))
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
