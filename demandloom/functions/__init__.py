@@ -5,6 +5,7 @@ from demandloom.functions.columns import (
     as_missing,
     batch_time,
     description_band,
+    from_micros,
     micros_of,
     money_label,
     number_text,
@@ -23,6 +24,7 @@ __all__ = [
     "as_missing",
     "batch_time",
     "description_band",
+    "from_micros",
     "micros_of",
     "money_label",
     "number_text",

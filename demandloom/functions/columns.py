@@ -106,6 +106,15 @@ def micros_of(ts: Column | str, dtype: T.DataType) -> Column:
     return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
 
 
+def from_micros(micros: Column | str, dtype: T.DataType) -> Column:
+    """The time of the given type that `micros_of` turned into microseconds."""
+    micros = F.round(_col(micros)).cast("long")
+    if not isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_micros(micros)
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def batch_time(as_of: datetime | str | Column | None) -> Column:
     """One timestamp for the whole query: the given one or the start of the query."""
     if as_of is None:

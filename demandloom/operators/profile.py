@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.functions import as_missing, week_ending_sunday
+from demandloom.functions import as_missing, from_micros, micros_of, week_ending_sunday
 from demandloom.operators.ranges import counted_values, exact_quantiles, quantiles_of_counts
 
 # Shape of the summaries.
@@ -72,6 +72,29 @@ def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> Dat
     )
 
 
+def describe_times(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
+    """count, mean, minimum, quartiles and maximum of time columns of one type, a row per column."""
+    dtype = df.schema[columns[0]].dataType
+    micros = df.select(*[micros_of(c, dtype).alias(c) for c in columns])
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns]
+    # Microseconds are summed as decimals: doubles would lose some in the mean.
+    basics = (
+        micros.select(F.inline(F.array(*entries)))
+        .groupBy("column")
+        .agg(
+            F.count("value").alias("count"),
+            F.avg(F.col("value").cast("decimal(20,0)")).alias("mean"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
+    )
+    spread = quantiles(micros, columns, QUARTILES, approx=approx)
+    names = {"mean": "mean", "min": "min", "q0": "q25", "q1": "q50", "q2": "q75", "max": "max"}
+    return basics.join(spread, "column", "left").select(
+        "column", "count", *[from_micros(c, dtype).alias(name) for c, name in names.items()]
+    )
+
+
 def info(df: DataFrame) -> DataFrame:
     """Position, name, type and number of present values of every column, in one pass."""
     counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])

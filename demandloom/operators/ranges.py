@@ -26,7 +26,7 @@ def cut_points(df: DataFrame, columns: Sequence[str], pieces: int | None = None)
     """Strictly increasing cut points per numeric column, found in one aggregation."""
     pieces = pieces or split_count(df.sparkSession)
     shares = [i / pieces for i in range(1, pieces)]
-    accuracy = max(10_000, 4 * pieces)
+    accuracy = 16 * pieces
     found = df.agg(
         *[
             F.percentile_approx(as_missing(c), shares, accuracy).alias(f"c{i}")

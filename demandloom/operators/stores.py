@@ -132,16 +132,15 @@ def purge_online(online: DataFrame, entities: DataFrame, key: str = "vehicle_id"
 def dominant_keys(sides: Sequence[DataFrame], key: str, at_least: int | None = None) -> list:
     """Keys that hold so many rows of both sides together that one task should not take them whole.
 
-    The bar is a quarter of an even share per shuffle task, and a million rows at least, so there are
-    at most four such keys per task.
+    The bar is a quarter of an even share per shuffle task, so there are at most four such keys per
+    task, and `at_least` rows, a million when not given.
     """
     spark = sides[0].sparkSession
     keys = reduce(DataFrame.unionByName, [side.select(key) for side in sides])
     counted = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     size = counted.agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
-    if at_least is None:
-        share = (size["rows"] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-        at_least = max(DOMINANT_ROWS, share)
+    share = (size["rows"] or 0) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at_least = max(DOMINANT_ROWS if at_least is None else at_least, share)
     if (size["largest"] or 0) < at_least:
         return []
     return [r[key] for r in counted.where(F.col("n") >= at_least).collect()]

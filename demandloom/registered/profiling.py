@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from demandloom.functions import micros_of
 from demandloom.operators import features as feat, metrics, profile
 from demandloom.operators.ranges import kfold_assign
 from demandloom.registered.base import half_up, query
@@ -87,6 +88,28 @@ def mean_by_bin(spark, folder):
     return rounded(profile.mean_by_bin(demo.explored(spark, folder), bins, LABEL), "mean")
 
 
+@query(
+    "mean_by_value",
+    "explored",
+    """SELECT num_images AS bin, round(avg(num_reservations), 6) AS mean, count(num_reservations) AS count
+       FROM explored GROUP BY 1""",
+)
+def mean_by_value(spark, folder):
+    rows = profile.mean_by_bin(demo.explored(spark, folder), F.col("num_images"), LABEL)
+    return rounded(rows, "mean")
+
+
+@query(
+    "mean_by_threshold",
+    "explored",
+    """SELECT actual_price > 1000 AS bin, round(avg(num_reservations), 6) AS mean, count(num_reservations) AS count
+       FROM explored GROUP BY 1""",
+)
+def mean_by_threshold(spark, folder):
+    rows = profile.mean_by_bin(demo.explored(spark, folder), F.col("actual_price") > 1000, LABEL)
+    return rounded(rows, "mean")
+
+
 DESCRIBE = """SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 6) AS mean,
     round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min,
     round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
@@ -117,6 +140,25 @@ def describe_counts(spark, folder):
     return described(feat.count_per_key(demo.table(spark, folder, "lineitem"), "l_partkey"), ["n"])
 
 
+TIMES = ["mean", "min", "q25", "q50", "q75", "max"]
+
+
+@query(
+    "describe_times",
+    "",
+    """SELECT 'ts' AS "column", count(*) AS count, CAST(round(avg(m / 1000.0)) AS BIGINT) AS mean,
+       CAST(round(min(m) / 1000.0) AS BIGINT) AS min, CAST(round(quantile_cont(m, 0.25) / 1000.0) AS BIGINT) AS q25,
+       CAST(round(quantile_cont(m, 0.5) / 1000.0) AS BIGINT) AS q50,
+       CAST(round(quantile_cont(m, 0.75) / 1000.0) AS BIGINT) AS q75,
+       CAST(round(max(m) / 1000.0) AS BIGINT) AS max FROM (SELECT epoch_us(ts) AS m FROM events)""",
+)
+def describe_times(spark, folder):
+    """Milliseconds of the times, for comparison."""
+    rows = profile.describe_times(demo.table(spark, folder, "events"), ["ts"])
+    kind = rows.schema["mean"].dataType
+    return rows.withColumns({c: F.round(micros_of(c, kind) / 1000).cast("long") for c in TIMES})
+
+
 INFO = [
     ("o_orderkey", "bigint"),
     ("o_custkey", "bigint"),

@@ -17,6 +17,7 @@ from demandloom.operators.registry import (
     promoted_aliases,
     register_candidate,
 )
+from demandloom.sources.tables import table_or_none
 
 TABLES = {
     "versions": "model_name string, version long, run_id string, model_path string, created_at timestamp",
@@ -36,8 +37,9 @@ class Registry:
     def create(self) -> Registry:
         """Make the empty tables; an existing registry is left as it is."""
         for name, schema in TABLES.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("append").parquet(f"{self.path}/{name}")
+            path = f"{self.path}/{name}"
+            if table_or_none(self.spark, path, schema) is None:
+                self.spark.createDataFrame([], schema).write.mode("append").parquet(path)
         return self
 
     def table(self, name: str) -> DataFrame:

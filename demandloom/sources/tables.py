@@ -66,15 +66,19 @@ def load_idempotent(incoming: DataFrame, existing: DataFrame, key: str | Sequenc
 
 def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str | Sequence[str]) -> None:
     """Append the rows a Parquet table does not hold yet; a second run adds nothing."""
+    existing = table_or_none(spark, path, incoming.schema)
+    fresh = incoming if existing is None else load_idempotent(incoming, existing, key)
+    fresh.write.mode("append").parquet(path)
+
+
+def table_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
+    """A Parquet table, or None while its folder does not exist."""
     try:
-        existing = spark.read.schema(incoming.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        fresh = incoming
-    else:
-        fresh = load_idempotent(incoming, existing, key)
-    fresh.write.mode("append").parquet(path)
+        return None
 
 
 def store_stats(offline: DataFrame, online: DataFrame, key: str) -> DataFrame:

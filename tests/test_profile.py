@@ -146,3 +146,14 @@ def test_counting_by_condition(spark):
     assert rows(profile.distinct_values(df.dropna(), "n")) == [(0,), (1,)]
     bins = profile.mean_by_bin(df, F.col("n"), "n")
     assert rows(bins) == sorted([(None, None, 0), (0, 0.0, 1), (1, 1.0, 1)], key=repr)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_time_summaries_equal_pandas(spark, kind):
+    texts = ["2025-01-01 00:00:00", "2025-01-02 12:30:00.25", "2025-03-09 02:30:00", "2024-06-30 23:59:59.999999", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t").cast(kind).alias("ts"))
+    r = profile.describe_times(df, ["ts"]).first()
+    want = pd.Series(pd.to_datetime([t for t in texts if t], format="ISO8601")).describe()
+    assert r["count"] == 4
+    for mine, theirs in zip(["mean", "min", "q25", "q50", "q75", "max"], ["mean", "min", "25%", "50%", "75%", "max"]):
+        assert abs(pd.Timestamp(r[mine]) - want[theirs]) <= pd.Timedelta(1, "us"), mine
