@@ -67,6 +67,23 @@ def split_and_limit(
     return sided.withColumn("rank", rank).where(F.col("rank") <= n).join(totals, "side")
 
 
+def with_fresh_ids(
+    existing: DataFrame,
+    new: DataFrame,
+    key: str,
+    order: str,
+    source: str = "source",
+    source_value: str = "ui",
+    high_water: int = 0,
+) -> DataFrame:
+    """New rows in the shape of the table, under ids above every id used so far, by `order`."""
+    used = existing.agg(F.greatest(F.max(key), F.lit(high_water)).alias("used"))
+    numbered = dense_position(new, order, "__pos")
+    first = F.coalesce(used.scalar(), F.lit(high_water)) + 1
+    fresh = numbered.withColumn(key, F.col("__pos") + first)
+    return fresh.withColumn(source, F.lit(source_value)).select(*existing.columns)
+
+
 def insert_with_id(
     existing: DataFrame,
     new: DataFrame,
@@ -76,17 +93,14 @@ def insert_with_id(
     source_value: str = "ui",
     high_water: int = 0,
 ) -> tuple[DataFrame, DataFrame]:
-    """Append rows under fresh ids above every id used so far, in the order of `order`.
+    """Append rows under fresh ids, in the order of `order`.
 
     Returns the whole table and a one-row frame with the id to hand back as `high_water` next time,
     which keeps ids of deleted rows from being given out again.
     """
-    used = existing.agg(F.greatest(F.max(key), F.lit(high_water)).alias("used"))
-    numbered = dense_position(new, order, "__pos")
-    fresh = numbered.withColumn(
-        key, F.col("__pos") + F.coalesce(used.scalar(), F.lit(high_water)) + 1
-    ).withColumn(source, F.lit(source_value))
-    merged = existing.unionByName(fresh.select(*existing.columns))
+    merged = existing.unionByName(
+        with_fresh_ids(existing, new, key, order, source, source_value, high_water)
+    )
     return merged, merged.agg(F.greatest(F.max(key), F.lit(high_water)).alias("high_water"))
 
 

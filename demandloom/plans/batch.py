@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandloom.operators.catalog import delete_new_arrival, with_fresh_ids
 from demandloom.operators.features import coerce_types, feature_build, fleet_rows
 from demandloom.schemas import BOOKING_CSV, LISTING, LISTING_CSV, LISTING_VIEW
 from demandloom.session import staged
+from demandloom.sources.events import SAVED_EVENT, to_events, write_events
 from demandloom.sources.online import materialize_arrivals
-from demandloom.sources.tables import append_new, scan_csv, scan_projected, write_offline
+from demandloom.sources.tables import (
+    append_new,
+    scan_csv,
+    scan_projected,
+    table_or_none,
+    write_offline,
+)
+
+log = logging.getLogger(__name__)
+
+DELETED = "vehicle_id long"
 
 
 def load_tables(spark: SparkSession, data_dir: str, warehouse: str) -> None:
@@ -39,7 +52,7 @@ def materialize(
     Rows with an observed label replace the offline store, the others go to the online store as one
     batch. Returns the feature rows.
     """
-    listings = scan_projected(spark, f"{warehouse}/vehicles", LISTING.fieldNames())
+    listings = current_listings(spark, warehouse)
     bookings = scan_projected(spark, f"{warehouse}/reservations", BOOKING_CSV.fieldNames())
     built = coerce_types(feature_build(listings, bookings, as_of=as_of), LISTING_VIEW.schema)
     features = staged(built, "features")
@@ -49,6 +62,48 @@ def materialize(
     return features
 
 
+def current_listings(spark: SparkSession, warehouse: str) -> DataFrame:
+    """Listings that have not been deleted."""
+    listings = scan_projected(spark, f"{warehouse}/vehicles", LISTING.fieldNames())
+    gone = table_or_none(spark, f"{warehouse}/deleted", DELETED)
+    return listings if gone is None else listings.join(gone, LISTING_VIEW.key, "left_anti")
+
+
+def save_listings(
+    spark: SparkSession,
+    warehouse: str,
+    new: DataFrame,
+    order: str,
+    events_path: str | None = None,
+    batch: int = 0,
+) -> tuple[DataFrame, bool]:
+    """Append listings under fresh ids and announce each.
+
+    Returns the saved rows and whether they were announced; a failed announcement does not undo the
+    save. Deleted rows stay in the table, so their ids are never given out again.
+    """
+    everything = scan_projected(spark, f"{warehouse}/vehicles", LISTING.fieldNames())
+    saved = staged(with_fresh_ids(everything, new, LISTING_VIEW.key, order), "saved")
+    saved.write.mode("append").parquet(f"{warehouse}/vehicles")
+    if events_path is None:
+        return saved, False
+    try:
+        write_events(to_events(saved, SAVED_EVENT.fieldNames()), events_path, batch)
+    except Exception:
+        log.exception("saved-listing events were not written")
+        return saved, False
+    return saved, True
+
+
+def delete_listings(spark: SparkSession, warehouse: str, ids: DataFrame) -> DataFrame:
+    """Delete listings that may be deleted by noting their ids; one report row per requested id."""
+    _, outcome = delete_new_arrival(current_listings(spark, warehouse), ids)
+    report = staged(outcome, "deletions")
+    gone = report.where(F.col("outcome") == "deleted").select(LISTING_VIEW.key)
+    gone.write.mode("append").parquet(f"{warehouse}/deleted")
+    return report
+
+
 def completion_event(spark: SparkSession, dag_id: str, run_id: str, state: str) -> DataFrame:
     """The message that tells listeners a job has ended."""
     return spark.range(1).select(

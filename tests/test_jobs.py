@@ -97,6 +97,36 @@ def test_registering_an_unknown_version_is_refused(spark, stores):
         model_jobs.promote_models(registry, version=3)
 
 
+NEW = "request long, technology long, actual_price double, recommended_price double, num_images long, street_parked long, description long"
+
+
+def test_save_delete_and_never_reuse_ids(spark, data_dir, monkeypatch):
+    root = scratch_path(spark, "catalog")
+    warehouse, events = f"{root}/w", f"{root}/saved"
+    batch.load_tables(spark, data_dir, warehouse)
+    new = spark.createDataFrame([(2, 1, 45.0, 50.0, 8, 0, 250), (1, 0, 30.0, 50.0, 2, 1, 50)], NEW)
+    saved, announced = batch.save_listings(spark, warehouse, new, "request", events)
+    assert announced and rows(saved, "vehicle_id", "actual_price", "source") == [(61, 30.0, "ui"), (62, 45.0, "ui")]
+    told, bad = ev.read_events(spark.read.text(events), ev.SAVED_EVENT, ["vehicle_id"])
+    assert rows(told, "vehicle_id", "recommended_price") == [(61, 50.0), (62, 50.0)] and bad.count() == 0
+
+    ids = spark.createDataFrame([(62,), (5,), (999,)], "vehicle_id long")
+    assert rows(batch.delete_listings(spark, warehouse, ids)) == [(5, "blocked"), (62, "deleted"), (999, "absent")]
+    assert rows(batch.delete_listings(spark, warehouse, ids), "outcome") == [("absent",), ("absent",), ("blocked",)]
+    left = batch.current_listings(spark, warehouse)
+    assert left.count() == 61 and left.where("vehicle_id = 62").count() == 0
+
+    def broken(*args, **kwargs):
+        raise OSError("channel is down")
+
+    monkeypatch.setattr(batch, "write_events", broken)
+    again, announced = batch.save_listings(spark, warehouse, new.limit(1), "request", events)
+    assert not announced and rows(again, "vehicle_id") == [(63,)]
+    assert batch.current_listings(spark, warehouse).count() == 62
+    batch.materialize(spark, warehouse, f"{root}/off", f"{root}/on")
+    assert rows(read_online(spark, f"{root}/on"), "vehicle_id") == [(61,), (63,)]
+
+
 def test_completion_event(spark):
     event = ev.to_events(batch.completion_event(spark, "materialize", "run-1", "success"), ["dag_id", "dag_run_id", "state"])
     assert event.first().value == '{"dag_id":"materialize","dag_run_id":"run-1","state":"success"}'
