@@ -67,8 +67,18 @@ def train(df: DataFrame, columns: Sequence[str], y: str, estimator) -> PipelineM
     return Pipeline(stages=[assembler, estimator.copy({estimator.labelCol: y})]).fit(df)
 
 
+def fold_table(
+    df: DataFrame, columns: Sequence[str], y: str, k: int = FOLDS, key: str = "vehicle_id"
+) -> DataFrame:
+    """Rows with their fold, written once and split by fold.
+
+    A fit or a scoring pass over it opens only the folds it needs.
+    """
+    return staged(kfold_assign(df.select(key, y, *columns), key, k), "folds", "fold")
+
+
 def scored_folds(
-    df: DataFrame,
+    folds: DataFrame,
     columns: Sequence[str],
     y: str,
     estimator,
@@ -76,11 +86,7 @@ def scored_folds(
     key: str = "vehicle_id",
     parallelism: int = FITS_AT_ONCE,
 ) -> DataFrame:
-    """Every row predicted by the model fitted on the other folds: key, fold, y, prediction.
-
-    Rows are written once, split by fold, so a fit or a scoring pass opens only the folds it needs.
-    """
-    folds = staged(kfold_assign(df.select(key, y, *columns), key, k), "folds", "fold")
+    """Every row predicted by the model fitted on the other folds: key, fold, y, prediction."""
 
     def fit_and_score(fold: int) -> DataFrame:
         model = train(folds.where(F.col("fold") != fold), columns, y, estimator)
@@ -88,7 +94,7 @@ def scored_folds(
         return model.transform(held_out).select(key, "fold", y, "prediction")
 
     with ThreadPool(min(k, parallelism)) as pool:
-        task = inheritable_thread_target(df.sparkSession)(fit_and_score)
+        task = inheritable_thread_target(folds.sparkSession)(fit_and_score)
         return reduce(DataFrame.unionByName, pool.map(task, range(k)))
 
 
@@ -96,7 +102,7 @@ def cross_validate(
     df: DataFrame, columns: Sequence[str], y: str, estimator, k: int = FOLDS, key: str = "vehicle_id"
 ) -> tuple[DataFrame, DataFrame]:
     """Fold summary (mean, deviation) and the MAE of each fold."""
-    scored = scored_folds(df, columns, y, estimator, k, key)
+    scored = scored_folds(fold_table(df, columns, y, k, key), columns, y, estimator, k, key)
     return fold_metrics(scored, "fold", y, "prediction"), fold_maes(scored, "fold", y, "prediction")
 
 
@@ -202,12 +208,14 @@ def feature_ablation(
     k: int = FOLDS,
     key: str = "vehicle_id",
 ) -> DataFrame:
-    """Cross-validated error per column set and its difference to the first set."""
+    """Cross-validated error per column set, on the same folds, and its difference to the first set."""
+    every = list(dict.fromkeys(c for columns in column_sets.values() for c in columns))
+    folds = fold_table(df, every, y, k, key)
     parts = []
     for order, (name, columns) in enumerate(column_sets.items()):
-        summary, _ = cross_validate(df, columns, y, estimator, k, key)
+        scored = scored_folds(folds, columns, y, estimator, k, key)
         parts.append(
-            summary.select(
+            fold_metrics(scored, "fold", y, "prediction").select(
                 F.lit(order).alias("order"), F.lit(name).alias("columns"), "cv_mae_mean", "cv_mae_std"
             )
         )

@@ -164,6 +164,9 @@ def asof_features(
     the same key and time; their values do when it is not given.
     """
     features = list(features)
+    taken = sorted({*features, feature_ts} & set(labels.columns))
+    if taken:
+        raise ValueError(f"labels already have columns {taken}")
     placed = F.col(key).isNotNull() & F.col(ts).isNotNull()
     known = history.where(placed)
     row = F.struct(F.col(ts).alias("__fts"), *features)

@@ -40,7 +40,8 @@ def test_run_metrics_are_complete_and_finite(spark, frame):
 
 
 def test_every_row_is_held_out_once(spark, frame):
-    scored = models.scored_folds(frame, COLUMNS, "y", models.forest(trees=2, depth=3), k=4)
+    folds = models.fold_table(frame, COLUMNS, "y", k=4)
+    scored = models.scored_folds(folds, COLUMNS, "y", models.forest(trees=2, depth=3), k=4)
     assert scored.count() == 400 and scored.select("vehicle_id").distinct().count() == 400
     assert scored.groupBy("fold").count().where("count != 100").count() == 0
 

@@ -146,6 +146,12 @@ def test_asof_keeps_labels_without_time_and_repeated_labels(spark, dominant_rows
     assert rows(got, "lid", "v") == [(1, 9.0), (2, 9.0), (3, None), (4, None)]
 
 
+def test_asof_refuses_columns_that_would_be_overwritten(spark):
+    df = spark.createDataFrame([(1, T0, 1.0)], "k long, ts timestamp, v double")
+    with pytest.raises(ValueError, match="already have"):
+        stores.asof_features(df, df, "k", "ts", ["v"])
+
+
 def test_asof_spreads_a_dominant_key_over_ranges(spark):
     labels = spark.range(20_000).selectExpr("id", "1L as k", "timestamp_seconds(1700000000 + id * 7) as ts")
     history = spark.range(20_000).selectExpr("1L as k", "timestamp_seconds(1700000000 + id * 7 - 3) as ts", "id as v")
