@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import digest, find_contamination
 from .frames import read_table
+from .jaccard import jaccard_components
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree by 90 in 100."""
+    return jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
