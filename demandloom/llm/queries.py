@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from .contamination import digest, find_contamination
 from .frames import read_table
+from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
 
 
+def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document, hosts being the sources."""
+    judged = judge(read_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *MEASURES, "base_failed", "kept", "host_rejected")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, by broadcast windows of 13 words."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -31,8 +38,62 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_host_rules": op2_host_rules,
     "op5_decontamination": op5_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+#: Words and measures of documents; `measured` has one row for each.
+MEASURED_SQL = r"""
+d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+at AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+again AS (SELECT doc_id, i FROM at
+  QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again)
+  GROUP BY doc_id),
+measured AS (SELECT w.doc_id, source, len(ws) AS n_words,
+  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  len(ws) < 50 OR 100 * coalesce(n, 0) > 50 * len(ws) AS base_failed
+  FROM w LEFT JOIN covered USING (doc_id))"""
+
+SQL: dict[str, str] = {
+    "op2_host_rules": f"""
+WITH {MEASURED_SQL},
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM measured
+  WHERE source IS NOT NULL GROUP BY source),
+sums AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS mean, coalesce(var_samp(f / n), 0) AS var, avg(1 / n) AS noise
+  FROM hosts),
+prior AS (SELECT mean, least(greatest(mean * (1 - mean)
+  / greatest(var - mean * (1 - mean) * noise, mean * (1 - mean) / ({MAX_STRENGTH} + 1)) - 1, {MIN_STRENGTH}),
+  {MAX_STRENGTH}) AS s FROM sums),
+rates AS (SELECT source, n + s AS total, (f + mean * s) / (n + s) AS rate FROM hosts, prior),
+verdicts AS (SELECT source, rate - {CAUTION} * sqrt(rate * (1 - rate) / (total + 1)) > {MAX_HOST_RATE} AS rejected
+  FROM rates)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(rejected, false) AS kept, coalesce(rejected, false) AS host_rejected
+FROM measured LEFT JOIN verdicts USING (source)""",
+    "op5_decontamination": r"""
+WITH t AS (SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+  AS t FROM documents UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT side, id, list_filter(string_split_regex(coalesce(t, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws
+  FROM t),
+windows AS (SELECT DISTINCT id AS item, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (
+  SELECT id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
+  FROM w WHERE side = 'b' AND len(ws) > 0)),
+sizes AS (SELECT DISTINCT k FROM windows),
+places AS (SELECT id, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (
+  SELECT id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, sizes WHERE side = 'd' AND len(ws) >= k)),
+hits AS (SELECT id, item, i, p.k FROM places AS p JOIN windows USING (k, g)),
+words AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY id),
+items AS (SELECT id, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item::VARCHAR)), ',') AS all_items
+  FROM hits GROUP BY id)
+SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(all_items, '')) AS items_sha256,
+  coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN words ON w.id = words.id LEFT JOIN items ON w.id = items.id WHERE side = 'd'""",
+}
