@@ -11,6 +11,13 @@ from .contamination import digest, find_contamination
 from .frames import read_table
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
+from .line_chunks import dedup_lines
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated runs of line chunks, and what was removed."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, counts="removed_")
 
 
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +45,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_host_rules": op2_host_rules,
     "op5_decontamination": op5_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
@@ -46,10 +54,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words and measures of documents; `measured` has one row for each.
 MEASURED_SQL = r"""
 d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-  list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-at AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
-again AS (SELECT doc_id, i FROM at
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+again AS (SELECT doc_id, i FROM places
   QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again)
   GROUP BY doc_id),
@@ -80,7 +88,7 @@ FROM measured LEFT JOIN verdicts USING (source)""",
 WITH t AS (SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
   AS t FROM documents UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz') FROM benchmark WHERE item_id IS NOT NULL),
-w AS (SELECT side, id, list_filter(string_split_regex(coalesce(t, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS ws
+w AS (SELECT side, id, list_filter(string_split_regex(coalesce(t, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws
   FROM t),
 windows AS (SELECT DISTINCT id AS item, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g FROM (
   SELECT id, ws, least(13, len(ws)) AS k, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i
