@@ -12,6 +12,7 @@ from .frames import read_table
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
 from .line_chunks import dedup_lines
+from .packing import pack
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,11 +45,24 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Pieces of the packed documents, with the checksum of their ids in place of the ids."""
+    return pack(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return packed_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_host_rules": op2_host_rules,
     "op5_decontamination": op5_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_packing": op10_packing,
 }
 
 #: Words and measures of documents; `measured` has one row for each.
