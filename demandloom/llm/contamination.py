@@ -30,7 +30,11 @@ RATIO = 20
 class WindowSet:
     """Windows of one block of benchmark items: hash -> (words, items), by window length."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int) -> None:
+    def __init__(self, lengths: dict[int, tuple[np.ndarray, np.ndarray, dict]]) -> None:
+        self.lengths = lengths
+
+    @classmethod
+    def build(cls, items: list[tuple[str, str]], width: int) -> WindowSet:
         windows: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
@@ -40,7 +44,7 @@ class WindowSet:
             size = min(width, len(words))
             for k in range(len(words) - size + 1 if size else 0):
                 windows[size][tuple(words[k : k + size])].add(item)
-        self.lengths: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
+        lengths: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
         for size, found in windows.items():
             by_hash: dict[int, list] = defaultdict(list)
             for words, owners in found.items():
@@ -52,7 +56,8 @@ class WindowSet:
             keys = np.array(sorted(by_hash), dtype=np.uint64)
             screen = np.zeros(1 << 20, dtype=bool)
             screen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
-            self.lengths[size] = (keys, screen, dict(by_hash))
+            lengths[size] = (keys, screen, dict(by_hash))
+        return cls(lengths)
 
     def hits(self, hashes: np.ndarray, size: int) -> np.ndarray:
         keys, screen, _ = self.lengths[size]
@@ -75,7 +80,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[Data
 
 def _scan(docs: DataFrame, text: str, spans: str, items: str, count: str, block: WindowSet) -> DataFrame:
     """Adds the verified windows of one block to the columns that earlier blocks have filled."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared = docs.sparkSession.sparkContext.broadcast(block.lengths)
     kept = [f for f in docs.schema.fields if f.name not in (spans, items, count)]
     schema = T.StructType(
         [
@@ -88,7 +93,7 @@ def _scan(docs: DataFrame, text: str, spans: str, items: str, count: str, block:
     first = spans not in docs.columns
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = WindowSet(shared.value)
         for batch in pieces(batches, text):
             data, offsets = text_bytes(batch.column(text))
             data = LOWER[data]
@@ -171,7 +176,7 @@ def find_contamination(
     spans, items, count = fresh("spans"), fresh("items"), fresh("count")
     blocks = _blocks(benchmark, item, item_text, block_bytes)
     for k, rows in enumerate(blocks):
-        block = WindowSet([(r["item"], r["text"]) for r in rows.collect()], width)
+        block = WindowSet.build([(r["item"], r["text"]) for r in rows.collect()], width)
         frame = _scan(frame, text, spans, items, count, block)
         if k < len(blocks) - 1:
             frame = staged(frame, "scanned")

@@ -30,14 +30,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_tables: dict[int, np.ndarray] = {}
+
+
+class _Tables(dict):
+    """Kept within one process; an empty one travels with functions."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_tables = _Tables()
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """The first `n` powers of `base` modulo 2**64, kept for the next batch."""
     known = _tables.get(int(base))
     if known is None or len(known) < n:
-        grown = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
+        grown = np.full(max(n, 2 * (len(known) if known is not None else 1 << 10)), base, dtype=np.uint64)
         grown[0] = 1
         known = _tables[int(base)] = np.multiply.accumulate(grown)
     return known[:n]
