@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .contamination import digest, find_contamination
 from .frames import read_table
+from .hilbert import sharded
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
 from .line_chunks import dedup_lines
@@ -27,6 +28,21 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *MEASURES, "base_failed", "kept", "host_rejected")
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight runs of a Hilbert curve over source, language and length, as written."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    return sharded(docs, ["source", "lang", "n_chars"]).select(
+        "doc_id",
+        (F.octet_length(raw) + 1).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, by broadcast windows of 13 words."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -60,6 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_host_rules": op2_host_rules,
+    "op3_hilbert_shards": op3_hilbert_shards,
     "op5_decontamination": op5_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op10_packing": op10_packing,
