@@ -14,6 +14,8 @@ from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRE
 from .jaccard import jaccard_components
 from .line_chunks import dedup_lines
 from .packing import pack
+from .redirects import Rule, judge_urls
+from .warc import archive_pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,22 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Fixed rules of the query.
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page, blocks passed on to aliases."""
+    judged = judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit words and items of every document, by broadcast windows of 13 words."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -61,6 +79,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, normalised to a gzip member for each record, and read back."""
+    read = archive_pages(read_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Pieces of the packed documents, with the checksum of their ids in place of the ids."""
     return pack(docs).select(
@@ -77,8 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_host_rules": op2_host_rules,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_warc": op8_warc,
     "op10_packing": op10_packing,
 }
 
@@ -87,9 +113,10 @@ MEASURED_SQL = r"""
 d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
-places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
-again AS (SELECT doc_id, i FROM places
-  QUALIFY count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) > 1),
+places AS (SELECT doc_id, unnest(list_zip(ws[1:len(ws) - 2], ws[2:len(ws) - 1], ws[3:], range(1, len(ws) - 1)))
+  AS z FROM w WHERE len(ws) > 2),
+again AS (SELECT doc_id, z[4] AS i FROM places
+  QUALIFY count(*) OVER (PARTITION BY doc_id, z[1], z[2], z[3]) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again)
   GROUP BY doc_id),
 measured AS (SELECT w.doc_id, source, len(ws) AS n_words,
@@ -99,7 +126,46 @@ measured AS (SELECT w.doc_id, source, len(ws) AS n_words,
   len(ws) < 50 OR 100 * coalesce(n, 0) > 50 * len(ws) AS base_failed
   FROM w LEFT JOIN covered USING (doc_id))"""
 
+def _url_parts(url: str) -> str:
+    """Host, path and node of `url` in SQL."""
+    return rf"""CASE WHEN strpos({url}, '://') > 0 THEN
+      translate(regexp_extract(substr({url}, strpos({url}, '://') + 3), '(?s)^([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN strpos({url}, '://') > 0 THEN
+      regexp_extract(substr({url}, strpos({url}, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    CASE WHEN strpos({url}, '://') > 0 THEN
+      coalesce(nullif(regexp_extract(substr({url}, strpos({url}, '://') + 3), '(?s)^[^/?#]*([^#]*)', 1), ''), '/')
+      END AS tail"""
+
+
+_FITS = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.name}'"
+    for r in sorted(URL_RULES, key=lambda r: -len(r.name))
+)
+
 SQL: dict[str, str] = {
+    "op4_url_filter": rf"""
+WITH RECURSIVE tags AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE url LIKE '%://%'),
+found AS (SELECT source, regexp_extract(tag, '(?is)\b(?:href|url)\s*=\s*["'']?\s*([^"''>\s]+)', 1) AS t FROM tags
+  WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b')
+  OR regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b')),
+urls AS (SELECT DISTINCT source, CASE WHEN t LIKE '%://%' THEN t
+  WHEN t LIKE '//%' THEN split_part(source, '://', 1) || ':' || t
+  WHEN t LIKE '/%' THEN regexp_extract(source, '(?s)^(.*?://[^/?#]*)', 1) || t END AS target FROM found),
+named AS (SELECT url, host, path, host || tail AS node FROM (SELECT url, {_url_parts('url')} FROM (
+  SELECT url FROM pages UNION SELECT source FROM urls UNION SELECT target FROM urls WHERE target IS NOT NULL))),
+ruled AS (SELECT *, CASE {_FITS} END AS fit FROM named),
+edges AS (SELECT a.node AS x, b.node AS y FROM urls JOIN named AS a ON a.url = source JOIN named AS b ON b.url = target),
+ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+reach AS (SELECT x AS node, y AS other FROM ways UNION
+  SELECT node, y FROM reach JOIN ways ON other = x),
+blocked AS (SELECT reach.node FROM reach JOIN ruled ON ruled.node = other WHERE fit IS NOT NULL GROUP BY reach.node
+  HAVING bool_or(fit LIKE 'block %') AND NOT bool_or(fit LIKE 'allow %'))
+SELECT page_id, host, path, nullif(split_part(coalesce(fit, ' '), ' ', 2), '') AS rule,
+  CASE WHEN fit IS NOT NULL THEN split_part(fit, ' ', 1)
+  WHEN ruled.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END AS verdict
+FROM pages JOIN ruled ON pages.url IS NOT DISTINCT FROM ruled.url""",
     "op2_host_rules": f"""
 WITH {MEASURED_SQL},
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS f FROM measured
