@@ -12,6 +12,7 @@ from .frames import read_table
 from .hilbert import sharded
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
+from .language import learn, predict
 from .line_chunks import dedup_lines
 from .packing import pack
 from .redirects import Rule, judge_urls
@@ -74,6 +75,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from three quarters of them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = learn(docs.where(~fold))
+    return predict(docs.select("doc_id", "text", fold.alias("held_out")), model).drop("text")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree by 90 in 100."""
     return jaccard_components(read_table(spark, sf_dir, "documents"))
@@ -103,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
     "op10_packing": op10_packing,
