@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .contamination import digest, find_contamination
+from .edit_counts import masked_counts
 from .frames import read_table
 from .hilbert import sharded
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
@@ -94,6 +95,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after masking, by segment trees."""
+    return masked_counts(read_table(spark, sf_dir, "documents"))
+
+
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Pieces of the packed documents, with the checksum of their ids in place of the ids."""
     return pack(docs).select(
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_warc": op8_warc,
+    "op9_edit_counts": op9_edit_counts,
     "op10_packing": op10_packing,
 }
 

@@ -19,6 +19,7 @@ import numpy as np
 CACHE_PARTS = 400_000
 LONGEST = 48
 
+#: Where a text may be cut: a space before a visible character begins a pre-token, whatever stands before.
 _ODD = re.compile(r" (?![\w!-~])")
 _CUT = re.compile(r" (?=[\w!-~])")
 #: Parts of these characters go through the faster library; both have one vocabulary and agree on them.
@@ -99,7 +100,8 @@ class Encoder:
         if len(self.after) > CACHE_PARTS:
             self.after.clear()
         parts = [_CUT.split(x) if _ODD.search(x) else x.split(" ") for x in (t or "" for t in texts)]
-        heads = self.raw([p[0] for p in parts])
+        first = list({p[0] for p in parts if p[0]})
+        head_of = {"": b""} | dict(zip(first, self.raw(first), strict=True))
         missing: set[str] = set()
         for p in parts:
             missing.update(p[1:])
@@ -107,7 +109,7 @@ class Encoder:
         new = list(missing)
         self.after.update(zip(new, self.parts(new), strict=True))
         get = self.after.__getitem__
-        out = [head + b"".join(map(get, p[1:])) for head, p in zip(heads, parts, strict=True)]
+        out = [head_of[p[0]] + b"".join(map(get, p[1:])) for p in parts]
         for x in new:
             if len(x) > LONGEST:
                 del self.after[x]
