@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is a piece of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -46,7 +46,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     """The first `n` powers of `base` modulo 2**64, kept for the next batch."""
     known = _tables.get(int(base))
     if known is None or len(known) < n:
-        grown = np.full(max(n, 2 * (len(known) if known is not None else 1 << 10)), base, dtype=np.uint64)
+        grown = np.full((n | 0xFFFF) + 1, base, dtype=np.uint64)
         grown[0] = 1
         known = _tables[int(base)] = np.multiply.accumulate(grown)
     return known[:n]
