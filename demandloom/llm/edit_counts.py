@@ -29,7 +29,7 @@ EDITS = T.ArrayType(
 #: What a masking pass replaces: mail addresses and long runs of digits with their separators.
 MASKS = (
     (re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+[A-Za-z0-9]"), "<mail>"),
-    (re.compile(r"(?<![\w+])\+?\d(?:[ ().-]?\d){6,}"), "<number>"),
+    (re.compile(r"(?<![\w+])\+?\d(?:[ ().-]{0,2}\d){6,}"), "<number>"),
 )
 
 
