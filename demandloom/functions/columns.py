@@ -16,8 +16,6 @@ PHOTO_BANDS = [(15, "Excellent"), (8, "Good"), (3, "Fair")]
 PHOTO_BAND_BELOW = "Poor"
 DESCRIPTION_BANDS = [(300, "Detailed"), (100, "Basic")]
 DESCRIPTION_BAND_BELOW = "Minimal"
-PHOTO_HIGHLIGHT = 8
-DESCRIPTION_HIGHLIGHT = 200
 
 
 def _col(c: Column | str) -> Column:

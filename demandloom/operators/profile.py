@@ -20,12 +20,15 @@ BAR_CHART_LIMIT = 5
 LATENCY_DIGITS = 3
 
 
-def _long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """One row per column and present value."""
+def _long(
+    df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), all_rows: bool = False
+) -> DataFrame:
+    """One row per column and present value; with `all_rows` also for missing ones."""
     entries = [
         F.struct(F.lit(c).alias("column"), as_missing(c).alias("value")) for c in columns
     ]
-    return df.select(*keep, F.inline(F.array(*entries))).where(F.col("value").isNotNull())
+    rows = df.select(*keep, F.inline(F.array(*entries)))
+    return rows if all_rows else rows.where(F.col("value").isNotNull())
 
 
 def quantiles(
@@ -51,7 +54,7 @@ def quantiles(
 
 def describe(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """count, mean, sample deviation, minimum, quartiles and maximum, one row per column."""
-    basics = _long(df, columns).groupBy("column").agg(
+    basics = _long(df, columns, all_rows=True).groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
@@ -274,7 +277,7 @@ def mean_by_group(df: DataFrame, by: str, y: str, approx: bool = False) -> DataF
     means = (
         df.where(F.col(by).isNotNull())
         .groupBy(by)
-        .agg(F.avg(y).alias("mean"), F.count(y).alias("count"))
+        .agg(F.avg(as_missing(y)).alias("mean"), F.count(as_missing(y)).alias("count"))
     )
     medians = quantiles(df, [y], [0.5], [by], approx).select(by, F.col("q0").alias("median"))
     return means.join(medians, by, "left").select(by, "mean", "median", "count")
@@ -282,8 +285,8 @@ def mean_by_group(df: DataFrame, by: str, y: str, approx: bool = False) -> DataF
 
 def group_lift(df: DataFrame, flag: str, y: str) -> DataFrame:
     """Means of `y` for flag 0 and 1 and the relative gain of 1 over 0."""
-    off = F.avg(F.when(F.col(flag) == 0, F.col(y)))
-    on = F.avg(F.when(F.col(flag) == 1, F.col(y)))
+    off = F.avg(F.when(F.col(flag) == 0, as_missing(y)))
+    on = F.avg(F.when(F.col(flag) == 1, as_missing(y)))
     return df.agg(
         off.alias("mean_off"), on.alias("mean_on"), (F.try_divide(on, off) - 1).alias("lift")
     )
@@ -291,7 +294,9 @@ def group_lift(df: DataFrame, flag: str, y: str) -> DataFrame:
 
 def mean_by_bin(df: DataFrame, bin_of: Column, y: str) -> DataFrame:
     """Mean and count of `y` per value of a bin expression."""
-    return df.groupBy(bin_of.alias("bin")).agg(F.avg(y).alias("mean"), F.count(y).alias("count"))
+    return df.groupBy(bin_of.alias("bin")).agg(
+        F.avg(as_missing(y)).alias("mean"), F.count(as_missing(y)).alias("count")
+    )
 
 
 def weekly_counts(df: DataFrame, ts: str) -> DataFrame:

@@ -9,7 +9,7 @@ runs      run_id, started_at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions import batch_time, rounded_map
@@ -27,7 +27,18 @@ def current_aliases(aliases: DataFrame) -> DataFrame:
 
 
 def metric_of_runs(metrics: DataFrame, metric: str) -> DataFrame:
-    return metrics.where(F.col("name") == metric).groupBy("run_id").agg(F.max("value").alias("metric"))
+    """One value per run: of several, the one logged last."""
+    named = latest_values(metrics.where(F.col("name") == metric))
+    return named.select("run_id", F.col("value").alias("metric"))
+
+
+def latest_values(rows: DataFrame) -> DataFrame:
+    """One value of each run and name: the last by `logged_at` or `step`, where there is such a column.
+
+    Values that nothing tells apart are settled by the largest, so a result never depends on chance.
+    """
+    stamps = [c for c in ("logged_at", "step") if c in rows.columns]
+    return latest_per_key(rows, ["run_id", "name"], *stamps, "value").select("run_id", "name", "value")
 
 
 def alias_metric_join(
@@ -116,19 +127,22 @@ def promoted_aliases(decisions: DataFrame, at: object = None) -> DataFrame:
 def register_candidate(
     versions: DataFrame, runs: DataFrame, at: object = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Version rows and candidate alias rows for new runs, one run per model.
+    """Version rows and candidate alias rows for new runs.
 
-    `runs` has model_name, run_id, model_path. The first version of a model is 1.
+    `runs` has model_name, run_id, model_path. Versions of a model go on from its highest, in the order
+    of run_id, the first being 1; the last of several runs becomes the candidate.
     """
     highest = versions.groupBy("model_name").agg(F.max("version").alias("__top"))
     new = runs.join(highest, "model_name", "left").select(
         "model_name",
-        (F.coalesce("__top", F.lit(0)) + 1).cast("long").alias("version"),
+        (
+            F.coalesce("__top", F.lit(0)) + F.row_number().over(Window.partitionBy("model_name").orderBy("run_id"))
+        ).cast("long").alias("version"),
         "run_id",
         "model_path",
         batch_time(at).alias("created_at"),
     )
-    return new, candidate_aliases(new)
+    return new, candidate_aliases(latest_per_key(new, "model_name", "version"))
 
 
 def candidate_aliases(versions: DataFrame) -> DataFrame:
@@ -144,7 +158,7 @@ def candidate_aliases(versions: DataFrame) -> DataFrame:
 def name_value_map(rows: DataFrame, out: str) -> DataFrame:
     """The names and values of a run as a map; runs carry a few dozen of them at most."""
     pairs = F.array_sort(F.collect_list(F.struct("name", "value")))
-    return rows.groupBy("run_id").agg(F.map_from_entries(pairs).alias(out))
+    return latest_values(rows).groupBy("run_id").agg(F.map_from_entries(pairs).alias(out))
 
 
 def model_info(

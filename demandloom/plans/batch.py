@@ -30,11 +30,11 @@ DELETED = "vehicle_id long"
 def load_tables(spark: SparkSession, data_dir: str, warehouse: str) -> None:
     """Load both CSV files into Parquet tables; rows already there are not loaded again.
 
-    Bookings without an id column are told apart by their content, so two equal bookings of a file
-    are kept and a repeated load adds none.
+    A listing is loaded once, by its id. Bookings have no id: of equal ones, as many are added as the
+    file holds more than the table, so a grown file adds what is new and a repeated load adds none.
     """
     listings = scan_csv(spark, f"{data_dir}/vehicles.csv", LISTING_CSV, "csv")
-    append_new(spark, listings, f"{warehouse}/vehicles", "vehicle_id")
+    append_new(spark, listings, f"{warehouse}/vehicles", "vehicle_id", unique=True)
     bookings = scan_csv(spark, f"{data_dir}/reservations.csv", BOOKING_CSV)
     append_new(spark, bookings, f"{warehouse}/reservations", ["vehicle_id", "created_at"])
 

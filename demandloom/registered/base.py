@@ -20,8 +20,7 @@ TABLES = {
         CAST((p_partkey * 37) % 401 AS BIGINT) AS description,
         CASE WHEN p_partkey % 10 = 0 THEN 'ui' ELSE 'csv' END AS source
         FROM part""",
-    "bookings": """SELECT l_partkey AS vehicle_id, l_shipdate AS created_at FROM lineitem
-        WHERE l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '2001-01-01 00:00:00'""",
+    "bookings": "SELECT user_id AS vehicle_id, ts AS created_at FROM events",
     "counts": "SELECT vehicle_id, count(*) AS booked FROM bookings GROUP BY ALL",
     "catalog": """SELECT l.*, coalesce(booked, CASE source WHEN 'csv' THEN 0 END) AS num_reservations,
         actual_price - recommended_price AS price_diff

@@ -74,9 +74,26 @@ def sink_offline(spark, folder):
 def load_idempotent(spark, folder):
     path = scratch_path(spark, "vehicles")
     rows = demo.listings(spark, folder)
-    append_new(spark, rows.where(F.col("source") == "csv"), path, KEY)
-    append_new(spark, rows, path, KEY)
-    append_new(spark, rows, path, KEY)
+    append_new(spark, rows.where(F.col("source") == "csv"), path, KEY, unique=True)
+    append_new(spark, rows.unionByName(rows), path, KEY, unique=True)
+    append_new(spark, rows, path, KEY, unique=True)
+    return spark.read.parquet(path)
+
+
+@query(
+    "load_grown_file",
+    "bookings",
+    "SELECT nullif(vehicle_id, 3) AS vehicle_id, created_at FROM bookings UNION ALL "
+    "SELECT nullif(vehicle_id, 3), created_at FROM bookings WHERE vehicle_id < 9",
+)
+def load_grown_file(spark, folder):
+    """Facts with repeated and NULL keys: a file that has grown by repeats, loaded twice."""
+    path = scratch_path(spark, "reservations")
+    first = demo.bookings(spark, folder)
+    grown = first.unionByName(first.where(F.col(KEY) < 9))
+    for part in (first, grown, grown):
+        rows = part.withColumn(KEY, F.when(F.col(KEY) != 3, F.col(KEY)))
+        append_new(spark, rows, path, [KEY, "created_at"])
     return spark.read.parquet(path)
 
 

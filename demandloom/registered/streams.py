@@ -79,6 +79,40 @@ def stream_materialize_query(spark, folder):
     return read_online(spark, run_materialize(spark, folder)["online"]).drop("event_timestamp")
 
 
+@query(
+    "stream_last_message",
+    "listings",
+    """SELECT vehicle_id, technology, num_images, street_parked, description + 2 AS description,
+       actual_price - recommended_price AS price_diff, CAST(NULL AS BIGINT) AS num_reservations
+       FROM listings WHERE vehicle_id > 0""",
+)
+def stream_last_message(spark, folder):
+    """Every listing saved three times, twice in one file, over files that come one to a micro-batch."""
+    root = scratch_path(spark, "resaved")
+    listings = demo.listings(spark, folder)
+
+    def saved(*versions):
+        rows = None
+        for v in versions:
+            one = to_events(listings.withColumn("description", F.col("description") + v), SAVED_FIELDS)
+            one = one.withColumn("v", F.lit(v))
+            rows = one if rows is None else rows.unionByName(one)
+        # In one file in the order of the versions.
+        return rows.coalesce(1).sortWithinPartitions("v").select("value")
+
+    saved(5).write.mode("append").text(f"{root}/messages")
+    saved(0, 2).write.mode("append").text(f"{root}/messages")
+    paths = {name: f"{root}/{name}" for name in ("online", "events", "rejects", "checkpoint")}
+    stream_materialize(
+        stream_messages(spark, f"{root}/messages", 1),
+        paths["online"],
+        paths["events"],
+        paths["rejects"],
+        paths["checkpoint"],
+    ).awaitTermination()
+    return read_online(spark, paths["online"]).drop("event_timestamp")
+
+
 @query(
     "stream_materialize_events",
     "listings",

@@ -1,5 +1,5 @@
-"""The listing tables as views of a star schema: parts are listings, line items bookings,
-customers model versions, events latencies and messages."""
+"""The listing tables as views of a star schema: parts are listings, events bookings, latencies and
+messages, customers model versions."""
 
 from __future__ import annotations
 
@@ -38,12 +38,9 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bookings(spark: SparkSession, folder: str) -> DataFrame:
-    """Returned items shipped since 2001; leaves some listings without a booking."""
-    items = table(spark, folder, "lineitem")
-    recent = items.where(
-        (F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
-    )
-    return recent.select(F.col("l_partkey").alias("vehicle_id"), F.col("l_shipdate").alias("created_at"))
+    """All events as bookings of the listing their user number names; most listings have none."""
+    events = table(spark, folder, "events")
+    return events.select(F.col("user_id").alias("vehicle_id"), F.col("ts").alias("created_at"))
 
 
 def features(spark: SparkSession, folder: str) -> DataFrame:

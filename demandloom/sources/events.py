@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from demandloom.schemas import LISTING_CSV
 
 BROKEN = "__broken"
+#: Where a streamed message stood: time, source and position; orders the messages of a micro-batch.
+PLACE = "place"
 
 # Payload fields and type labels of the event channels.
 SAVED_EVENT = LISTING_CSV
@@ -39,13 +41,21 @@ def stream_messages(spark: SparkSession, path: str, files_per_batch: int | None
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+    place = F.struct(
+        F.col("_metadata.file_modification_time").alias("at"),
+        F.col("_metadata.file_path").alias("source"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
+    return reader.load(path).select("value", place.alias(PLACE))
 
 
 def stream_topic(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """Messages of a Kafka topic; `options` are those of Spark's Kafka source, which brings its own jar."""
     stream = spark.readStream.format("kafka").options(**options).load()
-    return stream.select(F.col("value").cast("string"))
+    place = F.struct(
+        F.col("timestamp").alias("at"), F.col("partition").cast("string").alias("source"), F.col("offset").alias("block")
+    )
+    return stream.select(F.col("value").cast("string"), place.alias(PLACE))
 
 
 def decode(messages: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,9 @@ def scan_csv(
 ) -> DataFrame:
     """CSV with a header under a fixed schema; a malformed row stops the load.
 
-    Columns are matched by header name, so a file may hold more of them. With `source` every row is
-    tagged with where it came from.
+    Columns are named by the header, which may hold more of them. All files of a folder must have the
+    same header: one that differs stops the load, as its values would land in other columns. With
+    `source` every row is tagged with where it came from.
     """
     header = spark.read.option("header", True).csv(path).columns
     known = {f.name: f.dataType for f in schema.fields}
@@ -26,6 +27,7 @@ def scan_csv(
     rows = (
         spark.read.option("header", True)
         .option("mode", "FAILFAST")
+        .option("enforceSchema", False)
         .schema(full)
         .csv(path)
         .select(*schema.fieldNames())
@@ -58,17 +60,46 @@ def write_offline(df: DataFrame, path: str, order: str | None = None) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def load_idempotent(incoming: DataFrame, existing: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Rows of `incoming` whose key is not loaded yet: what a load has to append."""
+def load_idempotent(
+    incoming: DataFrame, existing: DataFrame, key: str | Sequence[str], unique: bool = False
+) -> DataFrame:
+    """Rows of `incoming` that are not loaded yet: what a load has to append.
+
+    Rows that repeat a key are facts of their own: of each key as many rows are new as `incoming` has
+    more than `existing`. NULL is a value like others in a key. With `unique` a key names an entity:
+    one row of each new key is left, and keys with a NULL are refused.
+
+    The loaded side is reduced to one row per key before the join, and only rows of keys that are
+    loaded already are numbered.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    return incoming.join(existing.select(*keys), keys, "left_anti")
+    if unique:
+        return (
+            incoming.dropna(subset=keys)
+            .dropDuplicates(keys)
+            .join(existing.select(*keys).distinct(), keys, "left_anti")
+        )
+    held = existing.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__held"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    found = incoming.join(held, same, "left")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in incoming.columns]))
+    known = found.where(F.col("__held").isNotNull()).withColumn("__number", number)
+    names = [F.col(f"`{c}`") for c in incoming.columns]
+    return found.where(F.col("__held").isNull()).select(*names).unionByName(
+        known.where(F.col("__number") > F.col("__held")).select(*names)
+    )
 
 
-def append_new(spark: SparkSession, incoming: DataFrame, path: str, key: str | Sequence[str]) -> None:
+def append_new(
+    spark: SparkSession, incoming: DataFrame, path: str, key: str | Sequence[str], unique: bool = False
+) -> None:
     """Append the rows a Parquet table does not hold yet; a second run adds nothing."""
     existing = table_or_none(spark, path, incoming.schema)
-    fresh = incoming if existing is None else load_idempotent(incoming, existing, key)
-    fresh.write.mode("append").parquet(path)
+    if existing is None:
+        existing = incoming.limit(0)
+    load_idempotent(incoming, existing, key, unique).write.mode("append").parquet(path)
 
 
 def table_or_none(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:

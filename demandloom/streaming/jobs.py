@@ -7,6 +7,7 @@ stops; without it the query keeps running.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
@@ -20,6 +21,7 @@ from demandloom.functions import batch_time
 from demandloom.operators.features import annotate_errors, coerce_types, null_guard, price_diff
 from demandloom.operators.models import score, without_model
 from demandloom.schemas import LISTING_VIEW, listing_rules
+from demandloom.operators.stores import latest_per_key
 from demandloom.sources.events import (
     BROKEN,
     COMPLETED_EVENT,
@@ -27,6 +29,7 @@ from demandloom.sources.events import (
     LOADED_EVENT,
     MATERIALIZED_EVENT,
     PIPELINE_COMPLETED,
+    PLACE,
     SAVED_EVENT,
     VEHICLE_MATERIALIZED,
     decode,
@@ -38,6 +41,11 @@ from demandloom.sources.online import batch_path, write_online
 from demandloom.sources.registry import Registry
 
 
+log = logging.getLogger(__name__)
+
+SEQUENCE = ("__place", "__read")
+
+
 def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
@@ -53,6 +61,12 @@ def saved_features(rows: DataFrame, as_of: object = None) -> DataFrame:
     )
 
 
+def in_order(batch: DataFrame) -> DataFrame:
+    """Messages with where they stand: the place their source gave them, then their order as read."""
+    place = F.col(PLACE) if PLACE in batch.columns else F.lit(None).cast("long")
+    return batch.select("value", place.alias(SEQUENCE[0]), F.monotonically_increasing_id().alias(SEQUENCE[1]))
+
+
 def stream_materialize(
     messages: DataFrame,
     online_path: str,
@@ -72,7 +86,7 @@ def stream_materialize(
     rules = listing_rules() if rules is None else rules
 
     def run(batch: DataFrame, number: int) -> None:
-        decoded = annotate_errors(decode(batch.select("value"), SAVED_EVENT), rules)
+        decoded = annotate_errors(decode(in_order(batch), SAVED_EVENT), rules)
         decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = is_usable([LISTING_VIEW.key]) & (F.size("errors") == 0)
@@ -80,7 +94,9 @@ def stream_materialize(
                 "value", F.col(BROKEN).isNotNull().alias("undecodable"), "errors"
             )
             rejected.write.mode("overwrite").parquet(f"{rejects_path}/batch={number}")
-            rows = saved_features(decoded.where(good), as_of)
+            # Of an id saved several times in a batch the last message holds.
+            last = latest_per_key(decoded.where(good), LISTING_VIEW.key, *SEQUENCE)
+            rows = saved_features(last, as_of)
             write_online(rows, online_path, writer, number)
         finally:
             decoded.unpersist()
@@ -104,6 +120,7 @@ def stream_dead_letter(
     """Split a message stream into decoded rows and raw rejects."""
 
     def run(batch: DataFrame, number: int) -> None:
+        batch = batch.drop(PLACE)
         decoded = decode(batch, schema).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             usable = is_usable(required)
@@ -167,8 +184,10 @@ def stream_champion_scoring(
             try:
                 loaded.update(version=found[0], model=PipelineModel.load(found[1]))
             except Exception:
+                log.exception("the champion %s could not be loaded", found[1])
                 loaded.update(version=None, model=None)
-        reload = "reloaded" if loaded["version"] != previous else "unchanged"
+        failed = found is not None and loaded["version"] is None
+        reload = "failed" if failed else "reloaded" if loaded["version"] != previous else "unchanged"
         model, version = loaded["model"], loaded["version"]
         features = LISTING_VIEW.feature_names
         if model is None:
