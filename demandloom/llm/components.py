@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges"
     )
     before = _state(current)
+    if not before[0]:
+        return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
