@@ -183,15 +183,16 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of `docs`, with its columns, that pass the base rules and whose host is not rejected.
 
-    The failures of each host are summed first; then each row is measured again beside its host's
-    verdict, so no whole text is shuffled.
+    Rows are written once with their base verdict, since the sums by host and the result both read
+    them; measuring is the costly part and is done once.
     """
-    measured = measure(docs, text)
-    verdicts = host_verdicts(measured.withColumn("base_failed", base_failed()), host)
-    bad = fresh("host")
-    rejected = verdicts.where("host_rejected").select(F.col("host").alias(bad))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return measured.where(~base_failed()).join(
-        rejected, F.col(f"`{host}`") == F.col(bad), "left_anti"
-    ).select(*columns)
-
+    row = fresh("row")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col(f"`{text}`").alias("text"))
+    measured = staged(measure(whole).select(row, base_failed().alias("base_failed")), "judged")
+    verdicts = host_verdicts(measured.select(F.col(row)[host].alias("host"), "base_failed"), "host")
+    rejected = staged(verdicts.where("host_rejected").select("host"), "rejected")
+    return (
+        measured.where("not base_failed")
+        .join(rejected, F.col(row)[host] == F.col("host"), "left_anti")
+        .select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    )
