@@ -37,9 +37,9 @@ def rows(df, *columns):
 
 
 LISTING_ROWS = [
-    (1, 1, 45.0, 50.0, 8, 0, 250, "csv"),
-    (2, 0, 30.0, 25.0, 2, 1, 50, "csv"),
-    (3, 1, 60.0, 55.0, 15, 0, 400, "csv"),
+    (1, 0, 71.5, 80.25, 11, 1, 133, "csv"),
+    (2, 1, 19.0, 16.5, 4, 0, 77, "csv"),
+    (3, 0, 33.0, 33.0, 6, 1, 310, "csv"),
 ]
 
 
@@ -52,7 +52,7 @@ def listings(spark):
 
 @pytest.fixture
 def bookings(spark):
-    keys = [1, 1, 1, 2, 3, 3]
+    keys = [2, 1, 2, 3, 2, 2, 1]
     return spark.createDataFrame(
-        [(k, "2025-01-01") for k in keys], "vehicle_id long, created_at string"
+        [(k, "2023-07-09") for k in keys], "vehicle_id long, created_at string"
     ).selectExpr("vehicle_id", "cast(created_at as timestamp) as created_at")

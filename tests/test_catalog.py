@@ -5,25 +5,25 @@ from demandloom.schemas import LISTING
 
 
 def test_saved_rows_are_listed_with_null_counts_in_id_order(spark, bookings):
-    ui = spark.createDataFrame([(i, 1, 45.0, 50.0, 8, 0, 250, "ui") for i in (12, 10, 11)], LISTING)
+    ui = spark.createDataFrame([(i, 1, 62.0, 70.0, 9, 0, 180, "ui") for i in (12, 10, 11)], LISTING)
     listed = catalog.list_entities(ui, bookings).collect()
     assert [(r.vehicle_id, r.num_reservations) for r in listed] == [(10, None), (11, None), (12, None)]
 
 
 def test_listing_joins_counts(listings, bookings):
-    assert rows(catalog.list_entities(listings, bookings), "vehicle_id", "num_reservations") == [(1, 3), (2, 1), (3, 2)]
+    assert rows(catalog.list_entities(listings, bookings), "vehicle_id", "num_reservations") == [(1, 2), (2, 4), (3, 1)]
 
 
 def test_listing_without_a_fact_table(spark):
     both = spark.createDataFrame(
-        [(1, 1, 45.0, 50.0, 8, 0, 250, "csv"), (2, 1, 45.0, 50.0, 8, 0, 250, "ui")], LISTING
+        [(1, 1, 62.0, 70.0, 9, 0, 180, "csv"), (2, 1, 62.0, 70.0, 9, 0, 180, "ui")], LISTING
     )
     assert rows(catalog.list_entities(both), "vehicle_id", "num_reservations") == [(1, 0), (2, None)]
 
 
 def test_delete_rules(spark):
     table = spark.createDataFrame(
-        [(1, 1, 45.0, 50.0, 8, 0, 250, "csv"), (2, 1, 45.0, 50.0, 8, 0, 250, "ui"), (3, 1, 45.0, 50.0, 8, 0, 250, None)],
+        [(1, 1, 62.0, 70.0, 9, 0, 180, "csv"), (2, 1, 62.0, 70.0, 9, 0, 180, "ui"), (3, 1, 62.0, 70.0, 9, 0, 180, None)],
         LISTING,
     )
     ids = spark.createDataFrame([(1,), (2,), (2,), (3,), (99,)], "vehicle_id long")

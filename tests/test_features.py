@@ -9,8 +9,8 @@ from demandloom.schemas import LISTING, LISTING_VIEW, listing_rules
 
 def test_counts_and_price_gap(listings, bookings):
     built = feat.feature_build(listings, bookings)
-    assert rows(built, "vehicle_id", "num_reservations") == [(1, 3), (2, 1), (3, 2)]
-    assert dict(rows(built, "vehicle_id", "price_diff"))[1] == -5.0
+    assert rows(built, "vehicle_id", "num_reservations") == [(1, 2), (2, 4), (3, 1)]
+    assert dict(rows(built, "vehicle_id", "price_diff"))[1] == -8.75
 
 
 def test_raw_prices_and_source_are_dropped_and_a_stamp_added(listings, bookings):
@@ -22,14 +22,14 @@ def test_raw_prices_and_source_are_dropped_and_a_stamp_added(listings, bookings)
 def test_zero_for_observed_sources_null_for_the_others(spark, bookings):
     none = bookings.limit(0)
     both = spark.createDataFrame(
-        [(1, 1, 45.0, 50.0, 8, 0, 250, "csv"), (2, 1, 45.0, 50.0, 8, 0, 250, "ui")], LISTING
+        [(1, 1, 62.0, 70.0, 9, 0, 180, "csv"), (2, 1, 62.0, 70.0, 9, 0, 180, "ui")], LISTING
     )
     assert rows(feat.feature_build(both, none), "vehicle_id", "num_reservations") == [(1, 0), (2, None)]
 
 
 def test_unobserved_source_with_facts_keeps_its_count(spark, bookings):
-    one = spark.createDataFrame([(1, 1, 45.0, 50.0, 8, 0, 250, "ui")], LISTING)
-    assert rows(feat.feature_build(one, bookings), "num_reservations") == [(3,)]
+    one = spark.createDataFrame([(1, 1, 62.0, 70.0, 9, 0, 180, "ui")], LISTING)
+    assert rows(feat.feature_build(one, bookings), "num_reservations") == [(2,)]
 
 
 def test_orphan_and_keyless_facts_fall_away(spark, listings):
@@ -65,11 +65,11 @@ def test_feature_refs(listings, bookings):
 def test_validation_names_every_broken_rule(spark):
     bad = spark.createDataFrame(
         [
-            (1, 1, 45.0, 50.0, 8, 0, 250, "ui"),
-            (2, 2, 45.0, 50.0, 8, 0, 250, "ui"),
-            (3, 1, -10.0, 50.0, 8, 0, 250, "ui"),
-            (4, 1, 0.0, None, 8, 0, 250, "ui"),
-            (0, 1, 45.0, 50.0, -1, 0, None, "ui"),
+            (1, 1, 62.0, 70.0, 9, 0, 180, "ui"),
+            (2, 2, 62.0, 70.0, 9, 0, 180, "ui"),
+            (3, 1, -3.0, 70.0, 9, 0, 180, "ui"),
+            (4, 1, 0.0, None, 9, 0, 180, "ui"),
+            (0, 1, 62.0, 70.0, -1, 0, None, "ui"),
         ],
         LISTING,
     )
