@@ -5,9 +5,14 @@ line of `long_line` words or more, and after a line at which a rolling hash over
 last `window` lines falls on a fixed residue. Boundaries thus follow the lines themselves, so a
 passage that is shifted, or embedded in another text, falls into the same chunks again.
 
-Chunks are counted by hash over all documents. The bytes of those that repeat are then grouped, which
-compares them byte by byte, and every occurrence but the first (smallest key, then place) is
-repeated. Neighbouring repeated chunks form a run; runs of `min_words` words or more are cut out.
+The chunks at both ends of a passage of short lines hold lines of their surroundings. So there are
+also, from every line on and up to every line, the fewest lines that hold `min_words` words; those of
+long lines alone are chunks already. Together they cover every line of a passage of `min_words` words.
+
+Chunks and such windows are counted by hash over all documents. The bytes of those that repeat are
+then grouped, which compares them byte by byte, and every occurrence but the first (smallest key, then
+place) is repeated, unless it overlaps the first. Repeated lines in a row form a run; runs of
+`min_words` words or more are cut out.
 """
 
 from __future__ import annotations
@@ -21,26 +26,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import fresh, sized, staged
-from .words import NEWLINE, SPACE, as_long, pieces, runs, shingle_hashes, span_hashes, text_bytes
+from .words import CHUNK_BYTES, NEWLINE, SPACE, as_long, pieces, runs, shingle_hashes, span_hashes, text_bytes
 
 LONG_LINE = 12
 WINDOW = 2
 DIVISOR = 3
 MIN_WORDS = 40
+#: Most rows of chunks in one batch.
+BATCH_ROWS = 1 << 14
 
 
-def chunk_spans(
-    data: np.ndarray, offsets: np.ndarray, long_line: int, window: int, divisor: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, words and text number of every chunk; ends leave out the last line break."""
+def text_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, words and text number of every line with words."""
     starts, ends, _ = runs(data, offsets, NEWLINE)
     word_starts, _, _ = runs(data, offsets, SPACE)
     words = np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)
     starts, ends, words = starts[words > 0], ends[words > 0], words[words > 0]
+    return starts, ends, words, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def _chunk_lines(
+    data: np.ndarray, lines: tuple[np.ndarray, ...], long_line: int, window: int, divisor: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every chunk."""
+    starts, ends, words, text = lines
     n = len(starts)
     if n == 0:
-        return starts, ends, words, starts
-    text = np.searchsorted(offsets, starts, side="right") - 1
+        return starts, starts
     rolling = shingle_hashes(span_hashes(data, starts, ends), window)
     cut = np.zeros(n, dtype=bool)
     cut[-1] = True
@@ -52,45 +64,84 @@ def chunk_spans(
         full = text[window - 1 :] == text[: n - window + 1]
         cut[window - 1 :] |= full & (rolling % np.uint64(divisor) == 0)
     last = np.flatnonzero(cut)
-    first = np.concatenate([[0], last[:-1] + 1])
+    return np.concatenate([[0], last[:-1] + 1]), last
+
+
+def chunk_spans(
+    data: np.ndarray, offsets: np.ndarray, long_line: int, window: int, divisor: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, words and text number of every chunk; ends leave out the last line break."""
+    lines = text_lines(data, offsets)
+    starts, ends, words, text = lines
+    first, last = _chunk_lines(data, lines, long_line, window, divisor)
     total = np.concatenate([[0], np.cumsum(words)])
     return starts[first], ends[last], total[last + 1] - total[first], text[first]
 
 
-def _chunks(docs: DataFrame, key: str, text: str, shape: tuple[int, int, int], with_bytes: bool) -> DataFrame:
-    """Rows (key, place, hash, length, words, from, to) of every chunk, with its bytes if asked for."""
+def _window_lines(words: np.ndarray, text: np.ndarray, long_line: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the fewest lines of `min_words` words from and up to every line, if any is short."""
+    n, least = len(words), max(min_words, 1)
+    total = np.concatenate([[0], np.cumsum(words)])
+    every = np.arange(n)
+    first = np.concatenate([every, np.searchsorted(total, total[1:] - least, side="right") - 1])
+    last = np.concatenate([np.searchsorted(total, total[:-1] + least) - 1, every])
+    inside = (first >= 0) & (last < n)
+    first, last = first[inside], last[inside]
+    short = np.concatenate([[0], np.cumsum(words < long_line)])
+    kept = (text[first] == text[last]) & (short[last + 1] > short[first])
+    return first[kept], last[kept]
+
+
+def _chunks(
+    docs: DataFrame, key: str, text: str, shape: tuple[int, int, int], min_words: int, with_bytes: bool
+) -> DataFrame:
+    """Chunks and windows: key, lines, hash, length, words before and up to the end, bytes from and to.
+
+    With their bytes if asked for.
+    """
     kind = docs.schema[key].dataType
-    fields = [
-        T.StructField("key", kind),
-        T.StructField("place", T.LongType()),
-        T.StructField("hash", T.LongType()),
-        T.StructField("length", T.LongType()),
-        T.StructField("words", T.LongType()),
-        T.StructField("low", T.LongType()),
-        T.StructField("high", T.LongType()),
-    ] + [T.StructField("bytes", T.BinaryType())] * with_bytes
+    names = ["place", "upto", "hash", "length", "before", "after", "low", "high"]
+    fields = [T.StructField("key", kind)] + [T.StructField(name, T.LongType()) for name in names]
+    fields += [T.StructField("bytes", T.BinaryType())] * with_bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             data, offsets = text_bytes(batch.column(text))
-            starts, ends, words, owner = chunk_spans(data, offsets, *shape)
-            first = np.searchsorted(owner, owner, side="left")
+            lines = text_lines(data, offsets)
+            line_starts, line_ends, words, line_text = lines
+            n = len(words)
+            if n == 0:
+                continue
+            both = zip(_chunk_lines(data, lines, *shape), _window_lines(words, line_text, shape[0], min_words), strict=True)
+            first, last = (np.concatenate(x) for x in both)
+            first, last = np.divmod(np.unique(first * n + last), n)
+            starts, ends, owner = line_starts[first], line_ends[last], line_text[first]
+            top = np.searchsorted(line_text, owner, side="left")
+            total = np.concatenate([[0], np.cumsum(words)])
             stop = ends + ((ends < offsets[owner + 1]) & (data[np.minimum(ends, len(data) - 1)] == 0x0A))
-            columns = [
-                batch.column(key).take(pa.array(owner)),
-                as_long(np.arange(len(owner)) - first),
-                as_long(span_hashes(data, starts, ends)),
-                as_long(ends - starts),
-                as_long(words),
-                as_long(starts - offsets[owner]),
-                as_long(stop - offsets[owner]),
+            numbers = [
+                first - top,
+                last + 1 - top,
+                span_hashes(data, starts, ends),
+                ends - starts,
+                total[first] - total[top],
+                total[last + 1] - total[top],
+                starts - offsets[owner],
+                stop - offsets[owner],
             ]
-            if with_bytes:
-                raw = data.tobytes()
-                columns.append(
-                    pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
-                )
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+            raw = data.tobytes() if with_bytes else b""
+            # Windows overlap, so their bytes may be many times the text's.
+            size = np.concatenate([[0], np.cumsum(ends - starts)]) if with_bytes else np.zeros(len(first) + 1, np.int64)
+            a = 0
+            while a < len(first):
+                b = int(np.searchsorted(size, size[a] + CHUNK_BYTES, side="right")) - 1
+                b = min(max(b, a + 1), a + BATCH_ROWS, len(first))
+                columns = [batch.column(key).take(pa.array(owner[a:b])), *(as_long(x[a:b]) for x in numbers)]
+                if with_bytes:
+                    spans = zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)
+                    columns.append(pa.array([raw[x:y] for x, y in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+                a = b
 
     return (
         docs.where(F.col(key).isNotNull())
@@ -110,18 +161,18 @@ def repeated_runs(
 ) -> DataFrame:
     """`(key, spans, n_runs, n_words)` of documents with runs to remove; spans are byte ranges in order.
 
-    The first occurrence of a chunk, by key and place, is never in a run. Rows without a key and null
+    The first occurrence of a chunk or window, by key and place, does not count as repeated. Rows without a key and null
     texts have no chunks. Rows that repeat a key count as one document, so none of them is cut for
     the other's sake.
     """
     shape = (long_line, window, divisor)
-    hashed = _chunks(docs, key, text, shape, with_bytes=False)
+    hashed = _chunks(docs, key, text, shape, min_words, with_bytes=False)
     often = staged(
         hashed.groupBy("hash", "length").agg(F.count("*").alias("times")).where("times > 1").select("hash", "length"),
         "repeated",
     )
     found = staged(
-        _chunks(docs, key, text, shape, with_bytes=True)
+        _chunks(docs, key, text, shape, min_words, with_bytes=True)
         .join(sized(often, 24), ["hash", "length"], "left_semi")
         .withColumn("digest", F.sha2("bytes", 256)),
         "occurrences",
@@ -136,16 +187,21 @@ def repeated_runs(
         .select("hash", "digest", "first")
     )
     again = (
-        found.select("key", "place", "words", "low", "high", "hash", "digest")
+        found.select("key", "place", "upto", "before", "after", "low", "high", "hash", "digest")
         .join(sized(staged(same, "verified"), 160), ["hash", "digest"])
-        .where("not (key <=> first.key and place <=> first.place)")
-        .select("key", "place", "words", "low", "high")
+        .where("not (key <=> first.key and place < first.place + upto - place)")
+        .select("key", "place", "upto", "before", "after", "low", "high")
         .distinct()
     )
-    island = again.withColumn("island", F.col("place") - F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    order = Window.partitionBy("key").orderBy("place", "upto")
+    reached = F.max("upto").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = again.withColumn("apart", (F.coalesce(reached, F.lit(-1)) < F.col("place")).cast("long"))
     long_runs = (
-        island.groupBy("key", "island")
-        .agg(F.sum("words").alias("words"), F.min("low").alias("low"), F.max("high").alias("high"))
+        apart.withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("key", "island")
+        .agg(
+            (F.max("after") - F.min("before")).alias("words"), F.min("low").alias("low"), F.max("high").alias("high")
+        )
         .where(F.col("words") >= min_words)
     )
     return long_runs.groupBy(F.col("key").alias(key)).agg(

@@ -25,6 +25,31 @@ def test_every_planted_passage_stays_once_and_other_lines_stay(spark):
         assert [x for x in got[key].split("\n") if x and not any(x in p for p in passages)] == own
 
 
+def test_whole_passages_of_short_lines_go(spark):
+    rng = random.Random(9)
+    rows, passages = [], {}
+    for lines, width in [(11, 5), (5, 11), (6, 10), (8, 7), (10, 8), (10, 10)] * 5:
+        passage = "\n".join(sentence(rng, width) for _ in range(lines))
+        for _ in range(3):
+            own = [f"{sentence(rng, rng.randint(1, 8))} {len(rows)}.{k}" for k in range(8)]
+            passages[len(rows)] = (passage, own)
+            rows.append((len(rows), "\n".join([*own[:4], passage, *own[4:]]), "en", "s", 0, "", 0, ""))
+    got = {r.doc_id: r for r in dedup_lines(frame(spark, rows), counts="removed_").collect()}
+    for key, text, *_ in rows:
+        passage, own = passages[key]
+        if key % 3 == 0:
+            assert (got[key].text, got[key].removed_words) == (text, 0)
+        else:
+            assert got[key].text == "\n".join(own)
+            assert (got[key].removed_runs, got[key].removed_words) == (1, len(passage.split()))
+
+
+def test_copies_that_overlap_their_first_occurrence_stay(spark):
+    rows = [(1, "\n".join(["same"] * 100), "en", "s", 0, "", 0, "")]
+    left = dedup_lines(frame(spark, rows)).first().text
+    assert 40 <= left.count("same") < 80
+
+
 def test_short_repeated_lines_stay(spark):
     rows = [(k, f"unlike line {k} of this text\nAll rights reserved.\nend {k}", "en", "s", 0, "", 0, "") for k in range(20)]
     assert ordered(dedup_lines(frame(spark, rows)).collect()) == ordered(rows)
