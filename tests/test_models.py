@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandloom.operators import models
+from demandloom.registered import QUERIES
 
 COLUMNS = ["a", "b", "noise"]
 
@@ -90,3 +91,34 @@ def test_incomplete_rows_are_not_scored(spark, frame, model):
 def test_boosting_fits(spark, frame):
     model = models.train(frame, COLUMNS, "y", models.boosting(rounds=3, depth=3))
     assert model.transform(frame).where("prediction is null").count() == 0
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["train_rf", "train_gbt", "cross_validate", "feature_importance", "permutation_importance", "feature_ablation",
+     "score_batch", "score_by_id", "score_new_arrivals", "sink_registry"],
+)
+def test_registered_fits_use_the_published_parameters(spark, folder, monkeypatch, name):
+    seen = []
+
+    def stop(df, columns, y, estimator, k=models.FOLDS):
+        seen.append((estimator, k))
+        raise Stopped
+
+    for step in ("train", "cross_validate", "feature_ablation", "run_metrics"):
+        monkeypatch.setattr(models, step, stop)
+    with pytest.raises(Stopped):
+        QUERIES[name](spark, folder)
+    (estimator, k), = seen
+    size = estimator.getMaxIter() if name == "train_gbt" else estimator.getNumTrees()
+    assert (size, estimator.getMaxDepth(), k) == (200, 5 if name == "train_gbt" else 10, 5)
+
+
+def test_registered_permutations_use_the_published_repeats(spark, folder, monkeypatch):
+    monkeypatch.setattr(models, "train", lambda *_: None)
+    monkeypatch.setattr(models, "permutation_importance", lambda *_, repeats=models.PERMUTATION_REPEATS: repeats)
+    assert QUERIES["permutation_importance"](spark, folder) == 10
