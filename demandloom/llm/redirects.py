@@ -72,10 +72,23 @@ def resource(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, named)
 
 
+def folded(path: Column) -> Column:
+    """A path that begins with `/`, with its `.` and `..` segments carried out."""
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """`(source, target)` urls of canonical links and refresh redirects; relative targets are resolved.
 
-    Targets may be absolute, begin with `//` or with `/`; others are left out.
+    Targets without a scheme are relative to the page's url; `base` elements do not count. Links within
+    the page, and schemes without `://`, have no target.
     """
     tags = F.filter(
         F.regexp_extract_all(F.col(html), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0),
@@ -84,10 +97,15 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     )
     target = F.regexp_extract("tag", r"(?is)\b(?:href|url)\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
     scheme = F.regexp_extract(F.col("source"), r"(?s)^(.*?://)", 1)
+    own = F.when(path_of(F.col("source")) == "", F.lit("/")).otherwise(path_of(F.col("source")))
+    to = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    query = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    beside = F.concat(F.regexp_extract(own, r"(?s)^(.*/)", 1), to)
+    path = F.when(to == "", own).otherwise(folded(F.when(to.startswith("/"), to).otherwise(beside)))
     full = (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), target)
         .when(target.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), target))
-        .when(target.startswith("/"), F.concat(scheme, host_of(F.col("source")), target))
+        .when((target != "") & ~target.rlike(r"(?i)^(?:#|[a-z][a-z0-9+.\-]*:)"), F.concat(scheme, host_of(F.col("source")), path, query))
     )
     return (
         pages.where(F.col(url).contains("://") & F.col(html).rlike(r"(?i)canonical|http-equiv"))

@@ -1,6 +1,6 @@
 from helpers import ordered
 
-from demandloom.llm.redirects import Rule, judge_urls
+from demandloom.llm.redirects import Rule, alias_edges, judge_urls
 
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 SCHEMA = "page_id long, url string, html string, node string, host int"
@@ -65,3 +65,40 @@ def test_hub_of_aliases_and_empty_table(spark):
     assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
     assert judge_urls(spark.createDataFrame([], SCHEMA), RULES).count() == 0
     assert {r.verdict for r in judge_urls(spark.createDataFrame(pages, SCHEMA), []).collect()} == {"allow"}
+
+
+def test_relative_targets_are_resolved(spark):
+    page = "http://R.net/a/b/c.html?old=1#top"
+    targets = {
+        "next.html": "http://r.net/a/b/next.html",
+        "./d/": "http://r.net/a/b/d/",
+        "../e?x=/../1": "http://r.net/a/e?x=/../1",
+        "../../../f": "http://r.net/f",
+        "..": "http://r.net/a/",
+        "g/./h/../i": "http://r.net/a/b/g/i",
+        "?id=3": "http://r.net/a/b/c.html?id=3",
+        "/j/../k": "http://r.net/k",
+        "go?to=http://x.com/": "http://r.net/a/b/go?to=http://x.com/",
+        "//s.net/l": "http://s.net/l",
+        "https://t.net/m/../n": "https://t.net/m/../n",
+        "#part": None,
+        "mailto:someone": None,
+    }
+    for target, full in targets.items():
+        html = f'<meta http-equiv="refresh" content="0; url={target}">'
+        got = alias_edges(spark.createDataFrame([(1, page, html, "n", 1)], SCHEMA)).collect()
+        assert [r.target for r in got] == ([full] if full else []), target
+    bare = [(1, "http://u.net", canonical("v"), "n", 1), (2, "http://u.net", canonical("?w"), "n", 1)]
+    bare.append((3, "http://u.net/", '<meta http-equiv="refresh" content="30">', "n", 1))
+    got = alias_edges(spark.createDataFrame(bare, SCHEMA)).collect()
+    assert {r.target for r in got} == {"http://u.net/v", "http://u.net/?w"}
+
+
+def test_blocks_reach_relative_aliases(spark):
+    pages = [
+        (1, "http://alias.net/p/1.html", canonical("2.html"), "n", 1),
+        (2, "http://alias.net/p/2.html", canonical("../q?id=3"), "n", 1),
+        (3, "http://alias.net/q?id=3", canonical("http://x.com/de/a"), "n", 1),
+    ]
+    got = judge_urls(spark.createDataFrame(pages, SCHEMA), RULES).collect()
+    assert [r.verdict for r in got] == ["block"] * 3
