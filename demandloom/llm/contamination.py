@@ -34,8 +34,8 @@ class WindowSet:
         self.lengths = lengths
 
     @classmethod
-    def build(cls, items: list[tuple[str, str]], width: int) -> WindowSet:
-        windows: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+    def build(cls, items: list[tuple[str | None, str]], width: int) -> WindowSet:
+        windows: dict[int, dict[tuple[bytes, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, text in items:
             data = LOWER[np.frombuffer(text.encode(), np.uint8)]
             starts, ends, _ = runs(data, np.array([0, len(data)]), NOT_ALNUM)
@@ -52,7 +52,7 @@ class WindowSet:
                 data = np.frombuffer(raw, np.uint8)
                 starts, ends, _ = runs(data, np.array([0, len(data)]), NOT_ALNUM)
                 value = shingle_hashes(span_hashes(data, starts, ends), size)[0]
-                by_hash[int(value)].append((words, tuple(sorted(owners))))
+                by_hash[int(value)].append((words, tuple(sorted(x for x in owners if x is not None))))
             keys = np.array(sorted(by_hash), dtype=np.uint64)
             screen = np.zeros(1 << 20, dtype=bool)
             screen[(keys & np.uint64(0xFFFFF)).astype(np.int64)] = True
@@ -68,10 +68,10 @@ class WindowSet:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, limit: int) -> list[DataFrame]:
-    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull()).select(
+    rows = benchmark.where(F.col(text).isNotNull()).select(
         F.col(item).cast("string").alias("item"), F.col(text).alias("text")
     )
-    total = rows.agg(F.sum(F.octet_length("text") + F.octet_length("item") + 64)).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
     count = -(-int(total) * 2 // limit) if total > limit else 1
     if count == 1:
         return [rows]
@@ -168,7 +168,7 @@ def find_contamination(
     A benchmark of at most `block_bytes` is one broadcast. A larger one is scanned in blocks of items,
     each broadcast alone, with the documents and their hits so far written between blocks, so neither
     the driver nor an executor ever holds more than a block. Null texts have no words; items without
-    an id or without words have no window; an empty benchmark leaves every document clean; repeated
+    words have no window; those without an id count as hits but are not named; an empty benchmark leaves every document clean; repeated
     documents and items are judged row by row.
     """
     names = {k: f"{prefix}{k}" for k in ("words", "spans", "hit", "items", "contaminated")}

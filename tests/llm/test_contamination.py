@@ -1,6 +1,7 @@
 import random
 from functools import cache
 
+import pytest
 from helpers import contamination, documents, empty, frame, ordered, sentence
 
 from demandloom.llm.contamination import decontaminate, find_contamination
@@ -55,3 +56,12 @@ def test_empty_tables(spark):
     assert find_contamination(empty(spark), items(spark)).count() == 0
     clean = find_contamination(frame(spark, documents(n=5)), items(spark).limit(0)).collect()
     assert not any(r.bench_contaminated for r in clean)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_items_without_id_count_as_hits(spark, block_bytes):
+    passage = sentence(random.Random(4), 20)
+    rows = [(1, f"before {passage} after", "en", "s", 0, "", 0, ""), (2, "some other text", "en", "s", 0, "", 0, "")]
+    items = spark.createDataFrame([(None, passage), (7, "unlike")], "item_id long, text string")
+    got = find_contamination(frame(spark, rows), items, block_bytes=block_bytes).orderBy("doc_id").collect()
+    assert [(r.bench_hit, r.bench_items, r.bench_contaminated) for r in got] == [(20, [], True), (0, [], False)]
