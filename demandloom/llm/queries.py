@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .contamination import digest, find_contamination
 from .edit_counts import masked_counts
 from .frames import read_table
+from .hard_negatives import hard_negatives
 from .hilbert import sharded
 from .host_rules import CAUTION, MAX_HOST_RATE, MAX_STRENGTH, MEASURES, MIN_STRENGTH, judge
 from .jaccard import jaccard_components
@@ -17,6 +18,8 @@ from .language import learn, predict
 from .line_chunks import dedup_lines
 from .packing import pack
 from .redirects import Rule, judge_urls
+from .turn_repair import repair_damaged
+from .vector_copies import near_vectors
 from .warc import archive_pages
 
 
@@ -112,6 +115,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of a label whose cosine is 0.98 or more."""
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh moved on."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_host_rules": op2_host_rules,
@@ -123,6 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_edit_counts": op9_edit_counts,
     "op10_packing": op10_packing,
+    "op11_vector_copies": op11_vector_copies,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: Words and measures of documents; `measured` has one row for each.
@@ -160,6 +183,44 @@ _FITS = " ".join(
     for r in sorted(URL_RULES, key=lambda r: -len(r.name))
 )
 
+
+def _least(*ways: str) -> str:
+    """The first of some repairs (cost, edits, text) in SQL; null is none."""
+    return f"list_min(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))"
+
+
+def _edit(at: str, cost: str, letter: str, row: str) -> str:
+    text = f"{at}.x" + (f" || chr(10) || {row}" if row else "")
+    return f"CASE WHEN {at} IS NOT NULL THEN {{'c': {at}.c + {cost}, 'a': {at}.a || '{letter}', 'x': {text}}} END"
+
+
+def _inserted(*states: str) -> str:
+    """The four states after inserts."""
+    user = _least(states[2], *(_edit(states[k], "3", "I", "'user:'") for k in (0, 1, 3) if states[k] != "NULL"))
+    none = "CAST(NULL AS STRUCT(c INTEGER, a VARCHAR, x VARCHAR))"
+    after = _least(states[3], _edit(f"({user})", "3", "I", "'assistant:'"))
+    return f"{states[0]} AS p0, {none if states[1] == 'NULL' else states[1]} AS p1, {user} AS p2, {after} AS p3"
+
+
+def _row_states() -> str:
+    """The four states after a row that is deleted, kept or given another role."""
+    extra, free = "CASE fault WHEN 't' THEN 3 ELSE 0 END", "fault NOT IN ('b', 'd')"
+
+    def ways(state: int, initial: str, role: str, sources: tuple[int, ...]) -> str:
+        out = [_edit(f"p{state}", "4", "D", "")]
+        for k in sources:
+            kept = _edit(f"p{k}", extra, "K", "role || ':' || text")
+            out.append(f"CASE WHEN {free} AND initial = '{initial}' THEN {kept} END")
+            if role:
+                given = _edit(f"p{k}", f"3 + {extra}", "R", f"'{role}:' || text")
+                out.append(f"CASE WHEN {free} THEN {given} END")
+        return _least(*out) + f" AS q{state}"
+
+    return ", ".join([ways(0, "", "", ()), ways(1, "s", "", (0,)), ways(2, "u", "user", (0, 1, 3)), ways(3, "a", "assistant", (2,))])
+
+
+_ROW = _row_states()
+
 SQL: dict[str, str] = {
     "op4_url_filter": rf"""
 WITH RECURSIVE tags AS (SELECT url AS source, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
@@ -218,4 +279,63 @@ SELECT w.id AS doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coales
   sha256(coalesce(all_items, '')) AS items_sha256,
   coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
 FROM w LEFT JOIN words ON w.id = words.id LEFT JOIN items ON w.id = items.id WHERE side = 'd'""",
+    "op11_vector_copies": """
+WITH RECURSIVE usable AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable AS a JOIN usable AS b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a AS v, a AS r FROM links UNION SELECT links.b, r FROM reach JOIN links ON links.a = v),
+least AS (SELECT v, min(r) AS component_id FROM reach GROUP BY v),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM embeddings LEFT JOIN least ON v = vec_id LEFT JOIN counted ON a = vec_id""",
+    "op12_turn_repair": rf"""
+WITH RECURSIVE crcs AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i::BIGINT] || range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS t(i))),
+drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':'
+  || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM conversations, crcs),
+damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER c AS i, lag(left(role, 1)) OVER c AS before, left(role, 1) AS initial,
+  regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM damaged
+  WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+faulty AS (SELECT *, CASE WHEN last = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN last IN ('.', '!', '?') THEN '' ELSE 't' END
+  AS fault FROM placed),
+counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+  count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+  count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+steps AS (SELECT conv_id, 0::BIGINT AS i, {_inserted("s0", "NULL", "NULL", "NULL")}
+  FROM (SELECT DISTINCT conv_id, {{'c': 0, 'a': '', 'x': ''}} AS s0 FROM conversations)
+  UNION ALL SELECT conv_id, i, {_inserted("q0", "q1", "q2", "q3")} FROM (
+  SELECT steps.conv_id, faulty.i, {_ROW} FROM steps JOIN faulty
+  ON steps.conv_id IS NOT DISTINCT FROM faulty.conv_id AND faulty.i = steps.i + 1)),
+ends AS (SELECT conv_id, list_min(list_filter([p0, p3], lambda x: x IS NOT NULL)) AS best FROM steps
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT ends.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+  sha256(substr(best.x, 2)) AS repaired_sha256
+FROM ends LEFT JOIN counts ON ends.conv_id IS NOT DISTINCT FROM counts.conv_id""",
+    "op13_hard_negatives": """
+WITH usable AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+  list_dot_product(a.v, b.v)::BIGINT AS score FROM usable AS a JOIN usable AS b ON a.vec_id <> b.vec_id
+  WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT
+  AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""",
 }

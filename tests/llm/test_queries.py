@@ -19,4 +19,4 @@ def test_native_operators_stay_in_the_jvm(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(q.split("_")[0][2:]) for q in QUERIES] == list(range(1, 11))
+    assert [int(q.split("_")[0][2:]) for q in QUERIES] == list(range(1, 14))
