@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,10 +78,23 @@ def with_fresh_ids(
 ) -> DataFrame:
     """New rows in the shape of the table, under ids above every id used so far, by `order`."""
     used = existing.agg(F.greatest(F.max(key), F.lit(high_water)).alias("used"))
-    numbered = dense_position(new, order, "__pos")
     first = F.coalesce(used.scalar(), F.lit(high_water)) + 1
+    return with_ids_from(new, first, key, order, existing.columns, source, source_value)
+
+
+def with_ids_from(
+    new: DataFrame,
+    first: int | Column,
+    key: str,
+    order: str,
+    columns: Sequence[str],
+    source: str = "source",
+    source_value: str = "ui",
+) -> DataFrame:
+    """New rows with the ids from `first` on, by `order`."""
+    numbered = dense_position(new, order, "__pos")
     fresh = numbered.withColumn(key, F.col("__pos") + first)
-    return fresh.withColumn(source, F.lit(source_value)).select(*existing.columns)
+    return fresh.withColumn(source, F.lit(source_value)).select(*columns)
 
 
 def insert_with_id(

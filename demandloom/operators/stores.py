@@ -72,7 +72,8 @@ def resolve_features(
     features = list(features)
 
     def side(store: DataFrame, name: str) -> DataFrame:
-        rows = latest_per_key(store, key, newest) if newest else store
+        # Rows of equal stamp are told apart by their values, not by chance.
+        rows = latest_per_key(store, key, newest, *features) if newest else store
         return rows.select(key, F.struct(*features).alias(name))
 
     # Repeated ids go first: this shuffle is the one the joins need, and none of them meets a hot id.

@@ -9,7 +9,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.operators.features import new_arrivals, null_guard, price_diff
+from demandloom.functions import rounded_map
+from demandloom.operators.features import new_arrivals, null_guard, price_diff, validate_rows
 from demandloom.operators.models import (
     FOLDS,
     FOREST_PARAMS,
@@ -21,10 +22,10 @@ from demandloom.operators.models import (
 )
 from demandloom.operators.registry import CANDIDATE, COMPARED_METRIC, promote
 from demandloom.operators.stores import online_lookup
-from demandloom.schemas import LISTING_VIEW
-from demandloom.session import staged
+from demandloom.schemas import LISTING_VIEW, listing_rules
 from demandloom.sources.events import to_events, write_events
 from demandloom.sources.registry import Registry
+from demandloom.sources.snapshots import Snapshot
 from demandloom.sources.tables import scan_offline
 
 log = logging.getLogger(__name__)
@@ -63,29 +64,26 @@ def promote_models(
 
     A `version` of the named model goes before its candidate alias.
 
-    The decisions are written down before they are applied: moving an alias changes their input. A
-    failed announcement is logged and does not undo a promotion.
+    A decision holds for the snapshot it was made on; if the registry changed meanwhile it is made
+    again. A failed announcement is logged and does not undo a promotion.
     """
     spark = registry.spark
     if version is not None and model_name is None:
         raise ValueError("a version needs the name of its model")
-    aliases, explicit = registry.table("aliases"), None
-    if model_name is not None:
-        aliases = aliases.where(F.col("model_name") == model_name)
+    explicit = None
     if version is not None:
         explicit = spark.range(1).select(
             F.lit(model_name).alias("model_name"), F.lit(version).cast("long").alias("version")
         )
-    decided = promote(
-        registry.table("versions"),
-        aliases,
-        registry.table("metrics"),
-        metric,
-        explicit,
-        candidate_alias,
-    )
-    decisions = staged(decided, "decisions")
-    registry.apply(decisions)
+
+    def decide(now: Snapshot) -> DataFrame:
+        aliases = registry.table("aliases", now)
+        if model_name is not None:
+            aliases = aliases.where(F.col("model_name") == model_name)
+        tables = registry.table("versions", now), aliases, registry.table("metrics", now)
+        return promote(*tables, metric, explicit, candidate_alias)
+
+    decisions = registry.promote(decide)
     if events_path is not None:
         moved = decisions.where("promoted").selectExpr(
             "model_name", "cast(candidate_version as string) AS version"
@@ -107,9 +105,41 @@ def champion_model(registry: Registry, model_name: str) -> tuple[PipelineModel |
 
 
 def score_listings(listings: DataFrame, model: PipelineModel | None, version: str | None) -> DataFrame:
-    """Score raw listings; the price gap is computed on the way."""
+    """Score raw listings; the price gap is computed on the way.
+
+    Rows that lack a feature are returned without a prediction, like all rows when there is no model.
+    """
     rows = price_diff(listings)
-    return without_model(rows) if model is None else score(rows, model, version)
+    if model is None:
+        return without_model(rows)
+    complete, incomplete = null_guard(rows, LISTING_VIEW.feature_names)
+    return score(complete, model, version).unionByName(without_model(incomplete))
+
+
+def score_request(
+    listings: DataFrame, model: PipelineModel | None, version: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of the listings that keep every rule, and the others with the names of the rules they break.
+
+    A listing need not have an id to be scored.
+    """
+    rules = {name: rule for name, rule in listing_rules().items() if name != LISTING_VIEW.key}
+    valid, rejected = validate_rows(listings, rules)
+    return score_listings(valid, model, version), rejected
+
+
+def served_importances(registry: Registry, model_name: str) -> DataFrame:
+    """Version and feature importances of the champion as a map of their own; no row without a champion."""
+    spark = registry.spark
+    schema = "model_name string, version long, importances map<string, double>"
+    found = registry.champion(model_name)
+    if found is None:
+        return spark.createDataFrame([], schema)
+    version, path = found
+    weights = PipelineModel.load(path).stages[-1].featureImportances.toArray().tolist()
+    named = dict(zip(LISTING_VIEW.feature_names, weights, strict=True))
+    rows = spark.createDataFrame([(model_name, version, named)], schema)
+    return rows.withColumn("importances", rounded_map("importances"))
 
 
 def score_ids(

@@ -51,13 +51,8 @@ TABLES = {
     "champions": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS r
         FROM registry_versions WHERE segment = 'BUILDING' OR (segment <> 'AUTOMOBILE' AND (balance < 1000 OR balance > 7000)))
         WHERE r = 1""",
-    "samples": """SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS iteration
-        FROM events""",
-    "latencies": """SELECT 'raw' AS source, iteration, f.value AS feature_ms, p.value AS predict_ms
-        FROM samples f JOIN samples p USING (iteration) WHERE f.event_type = 'click' AND p.event_type = 'view'
-        UNION ALL
-        SELECT 'online_store', iteration, f.value, p.value
-        FROM samples f JOIN samples p USING (iteration) WHERE f.event_type = 'purchase' AND p.event_type = 'signup'""",
+    "latencies": """SELECT event_type AS source, event_id AS iteration, value AS feature_ms,
+        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS predict_ms FROM events""",
     "folds": """SELECT vehicle_id, num_reservations, num_images / 3.0 AS prediction,
         CAST(ntile(5) OVER (ORDER BY vehicle_id) - 1 AS INTEGER) AS fold FROM offline""",
 }
@@ -71,7 +66,6 @@ NEEDS = {
     "resolved": ["listings", "offline", "online"],
     "candidates": ["registry_versions"],
     "champions": ["registry_versions"],
-    "latencies": ["samples"],
     "folds": ["offline"],
 }
 

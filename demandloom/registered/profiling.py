@@ -337,12 +337,12 @@ def latency_summary(spark, folder):
     "latency_compare",
     "latencies",
     f"""SELECT raw_avg, store_avg, round(store_avg - raw_avg, 6) AS difference FROM (
-        SELECT max(avg_latency_ms) FILTER (WHERE source = 'raw') AS raw_avg,
-               max(avg_latency_ms) FILTER (WHERE source = 'online_store') AS store_avg FROM ({LATENCY}))""",
+        SELECT max(avg_latency_ms) FILTER (WHERE source = 'view') AS raw_avg,
+               max(avg_latency_ms) FILTER (WHERE source = 'click') AS store_avg FROM ({LATENCY}))""",
 )
 def latency_compare(spark, folder):
     summary = profile.latency_summary(demo.latencies(spark, folder), "feature_ms", "predict_ms", "source")
-    return rounded(profile.latency_compare(summary, "source", "raw", "online_store"), "difference")
+    return rounded(profile.latency_compare(summary, "source", "view", "click"), "difference")
 
 
 @query(

@@ -29,7 +29,9 @@ from demandloom.streaming import (
     stream_dead_letter,
     stream_materialize,
 )
+from demandloom.streaming.event_time import EVENT_TIME, announce_once, store_by_event_time
 from demandloom.streaming.jobs import saved_features
+from demandloom.streaming.promotions import score_by_promotions, with_control
 
 KEY, LABEL, FEATURES = LISTING_VIEW.key, LISTING_VIEW.label, LISTING_VIEW.feature_names
 SAVED_FIELDS = SAVED_EVENT.fieldNames()
@@ -87,7 +89,7 @@ def stream_materialize_query(spark, folder):
        FROM listings WHERE vehicle_id > 0""",
 )
 def stream_last_message(spark, folder):
-    """Every listing saved three times, twice in one file, over files that come one to a micro-batch."""
+    """Every listing saved three times, twice in one file, over files that come four to a micro-batch."""
     root = scratch_path(spark, "resaved")
     listings = demo.listings(spark, folder)
 
@@ -95,16 +97,16 @@ def stream_last_message(spark, folder):
         rows = None
         for v in versions:
             one = to_events(listings.withColumn("description", F.col("description") + v), SAVED_FIELDS)
-            one = one.withColumn("v", F.lit(v))
+            one = one.withColumn("v", F.lit(v)).withColumn(KEY, F.get_json_object("value", f"$.{KEY}"))
             rows = one if rows is None else rows.unionByName(one)
-        # In one file in the order of the versions.
-        return rows.coalesce(1).sortWithinPartitions("v").select("value")
+        # All versions of a listing in one file, in their order.
+        return rows.repartition(KEY).sortWithinPartitions("v").select("value")
 
     saved(5).write.mode("append").text(f"{root}/messages")
     saved(0, 2).write.mode("append").text(f"{root}/messages")
     paths = {name: f"{root}/{name}" for name in ("online", "events", "rejects", "checkpoint")}
     stream_materialize(
-        stream_messages(spark, f"{root}/messages", 1),
+        stream_messages(spark, f"{root}/messages", 4),
         paths["online"],
         paths["events"],
         paths["rejects"],
@@ -198,7 +200,7 @@ def source_events_json(spark, folder):
         ]
     )
     good, _ = read_events(stream_messages(spark, f"{root}/messages"), schema, ["event_id"])
-    drained(good.drop("value"), f"{root}/decoded", f"{root}/checkpoint")
+    drained(good.drop("value", "place"), f"{root}/decoded", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/decoded")
 
 
@@ -295,3 +297,82 @@ def stream_champion_scoring_query(spark, folder):
     ).awaitTermination()
     scored = spark.read.parquet(f"{root}/scored")
     return scored.select(KEY, "predicted_reservations", "model_version", "reload")
+
+
+@query(
+    "stream_event_time",
+    "listings",
+    """SELECT vehicle_id, technology, num_images, street_parked, description + 2 AS description,
+       actual_price - recommended_price AS price_diff, CAST(NULL AS BIGINT) AS num_reservations,
+       TIMESTAMP '2024-03-01 02:00:00' AS event_timestamp FROM listings WHERE vehicle_id > 0""",
+)
+def stream_event_time(spark, folder):
+    """Every listing saved three times and delivered newest first, the newest once more at the end."""
+    root = scratch_path(spark, "timed")
+    messages = timed_messages(spark, folder, f"{root}/messages")
+    store_by_event_time(
+        messages, f"{root}/online", f"{root}/rejects", f"{root}/checkpoint"
+    ).awaitTermination()
+    return read_online(spark, f"{root}/online")
+
+
+@query(
+    "stream_announce_once",
+    "listings",
+    "SELECT 'vehicle-materialized' AS type, vehicle_id, CAST(3 AS BIGINT) AS n FROM listings WHERE vehicle_id > 0",
+)
+def stream_announce_once(spark, folder):
+    """The same deliveries: each save is told once."""
+    root = scratch_path(spark, "announced")
+    messages = timed_messages(spark, folder, f"{root}/messages")
+    announce_once(messages, f"{root}/events", f"{root}/checkpoint", "1 day").awaitTermination()
+    told = event_projection(spark.read.text(f"{root}/events"), VEHICLE_MATERIALIZED)
+    return told.groupBy("type", KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+def timed_messages(spark, folder, path):
+    listings = demo.listings(spark, folder)
+    for hour in (2, 0, 1, 2):
+        rows = listings.withColumn("description", F.col("description") + hour).withColumn(
+            EVENT_TIME, F.lit(f"2024-03-01 0{hour}:00:00").cast("timestamp")
+        )
+        to_events(rows, [*SAVED_FIELDS, EVENT_TIME]).write.mode("append").text(path)
+    return stream_messages(spark, path, 2)
+
+
+@query(
+    "stream_promotions",
+    "listings",
+    """SELECT vehicle_id, CAST(max(n_nationkey) AS VARCHAR) AS model_version,
+       CAST(max(n_nationkey) AS DOUBLE) AS predicted_reservations
+       FROM listings LEFT JOIN nation ON n_nationkey * 40 + 100 <= vehicle_id * 31 % 1000 GROUP BY vehicle_id""",
+)
+def stream_promotions(spark, folder):
+    """Listings among promotions of versions, one for each nation; the version stands for a prediction."""
+    root = scratch_path(spark, "promotions")
+    start = F.lit("2024-03-01 00:00:00").cast("timestamp")
+
+    def after(seconds):
+        return start + F.make_dt_interval(secs=seconds)
+
+    rows = demo.as_listings(streamed(spark, folder, "part")).withColumn(
+        "price_diff", F.col("actual_price") - F.col("recommended_price")
+    )
+    rows = rows.select(KEY, *FEATURES, after(F.col(KEY) * 31 % 1000).alias("at"))
+    nation = streamed(spark, folder, "nation")
+    promoted = to_events(
+        nation.select(
+            F.lit("demand").alias("model_name"),
+            F.col("n_nationkey").cast("string").alias("version"),
+            after(F.col("n_nationkey") * 40 + 100).alias("at"),
+        ),
+        ["model_name", "version", "at"],
+    )
+
+    def scorer(rows, version):
+        return rows.withColumn("predicted_reservations", F.lit(float(version))).withColumn("model_version", F.lit(version))
+
+    score_by_promotions(
+        with_control(rows, promoted), "demand", scorer, f"{root}/out", f"{root}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/out/rows").select(KEY, "model_version", "predicted_reservations")

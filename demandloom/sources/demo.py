@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import price_diff_of, price_ratio_of
 from demandloom.operators.features import feature_build, left_join_counts
-from demandloom.operators.ranges import dense_position
 from demandloom.schemas import LISTING_VIEW
 
 STAMP = "2001-12-01 00:00:00"
@@ -71,24 +70,14 @@ def explored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latencies(spark: SparkSession, folder: str) -> DataFrame:
-    """The n-th feature and n-th predict sample of two sources, as far as both have samples."""
-    events = table(spark, folder, "events").select("event_id", "event_type", "value")
-    numbered = dense_position(events, "event_id", "iteration", by=["event_type"])
-
-    def sample(kind: str) -> Column:
-        return F.max(F.when(F.col("event_type") == kind, F.col("value")))
-
-    def timing(source: str, feature: str, predict: str) -> Column:
-        return F.struct(
-            F.lit(source).alias("source"),
-            F.col(feature).alias("feature_ms"),
-            F.col(predict).alias("predict_ms"),
-        )
-
-    kinds = ["click", "view", "purchase", "signup"]
-    wide = numbered.groupBy("iteration").agg(*[sample(k).alias(k) for k in kinds])
-    pairs = F.array(timing("raw", "click", "view"), timing("online_store", "purchase", "signup"))
-    return wide.select("iteration", F.inline(pairs)).dropna()
+    """Both timings of every event; its type is the source."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    return table(spark, folder, "events").select(
+        F.col("event_type").alias("source"),
+        F.col("event_id").alias("iteration"),
+        F.col("value").alias("feature_ms"),
+        k.alias("predict_ms"),
+    )
 
 
 def _model() -> Column:

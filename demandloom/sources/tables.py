@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,6 +13,9 @@ from pyspark.sql import types as T
 
 from demandloom.schemas import FeatureView
 
+#: Ids that a lookup turns into conditions; more are joined.
+FEW_IDS = 200
+
 
 def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType, source: str | None = None
@@ -45,6 +50,41 @@ def scan_jdbc(spark: SparkSession, options: dict[str, str], columns: Sequence[st
     return spark.read.format("jdbc").options(**options).load().select(*columns)
 
 
+#: Types of a file that a declared type can be read from.
+READ_AS = {
+    "bigint": ("tinyint", "smallint", "int"),
+    "int": ("tinyint", "smallint"),
+    "double": ("float", "tinyint", "smallint", "int"),
+    "timestamp": ("date",),
+}
+
+
+def scan_evolving(
+    spark: SparkSession, path: str, schema: T.StructType, defaults: Mapping[str, object] | None = None
+) -> DataFrame:
+    """Files of different age in one folder as one table of the declared schema.
+
+    A column that a file lacks is NULL in its rows, or its default; a NULL of a column with a default
+    takes it too. A file whose column has a type that the declared one cannot be read from is refused
+    by name before any row is read; columns that are not declared are left out. The footers of the files
+    are read by Spark's tasks.
+    """
+    found = spark.read.option("mergeSchema", True).parquet(path).schema
+    types = {f.name: f.dataType.simpleString() for f in found.fields}
+    wrong = [
+        f"{f.name} is {types[f.name]}, not {kind}"
+        for f in schema.fields
+        if (kind := f.dataType.simpleString()) != types.get(f.name, kind)
+        and types[f.name] not in READ_AS.get(kind, ())
+    ]
+    if wrong:
+        raise ValueError(f"files of {path} do not fit: {', '.join(wrong)}")
+    rows = spark.read.schema(schema).parquet(path)
+    for name, value in (defaults or {}).items():
+        rows = rows.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(schema[name].dataType)))
+    return rows
+
+
 def scan_offline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -52,12 +92,38 @@ def scan_offline(spark: SparkSession, path: str) -> DataFrame:
 def write_offline(df: DataFrame, path: str, order: str | None = None) -> None:
     """Replace the offline store.
 
-    With `order` its files hold separate ranges of that column, so a lookup by it can skip most of
-    them by their statistics. That costs one shuffle of the store.
+    With `order` its files hold separate ranges of that column and a Bloom filter of it in every row
+    group, so `lookup` opens few of them. That costs one shuffle of the store.
     """
+    writer = df.write
     if order is not None:
-        df = df.repartitionByRange(order).sortWithinPartitions(order)
-    df.write.mode("overwrite").parquet(path)
+        writer = df.repartitionByRange(order).sortWithinPartitions(order).write.options(**key_index(order))
+    writer.mode("overwrite").parquet(path)
+
+
+def key_index(key: str) -> dict[str, str]:
+    """Options of the Parquet writer for Bloom filters of a key, sized by the keys they hold."""
+    return {
+        f"parquet.bloom.filter.enabled#{key}": "true",
+        f"parquet.bloom.filter.adaptive.enabled#{key}": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+    }
+
+
+def lookup(table: DataFrame, ids: DataFrame, key: str, few: int = FEW_IDS) -> DataFrame:
+    """Rows of the requested ids, read from few row groups of a table written with `key_index`.
+
+    Up to `few` distinct ids become equality conditions, which row groups are skipped by: their ranges
+    first, then their Bloom filters. More ids are joined, within the range they span.
+    """
+    wanted = ids.select(key).distinct()
+    first = [r[key] for r in wanted.limit(few + 1).collect()]
+    known = [x for x in first if x is not None]
+    if len(first) <= few:
+        # One by one: longer IN lists are handed to Parquet as a range only.
+        return table.where(reduce(or_, [F.col(key) == x for x in known], F.lit(False)))
+    low, high = wanted.agg(F.min(key), F.max(key)).first()
+    return table.where(F.col(key).between(low, high)).join(wanted, key, "left_semi")
 
 
 def load_idempotent(
@@ -70,7 +136,7 @@ def load_idempotent(
     one row of each new key is left, and keys with a NULL are refused.
 
     The loaded side is reduced to one row per key before the join, and only rows of keys that are
-    loaded already are numbered.
+    loaded already are numbered. Columns must be of types that can be grouped.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if unique:
@@ -83,13 +149,30 @@ def load_idempotent(
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    found = incoming.join(held, same, "left")
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in incoming.columns]))
-    known = found.where(F.col("__held").isNotNull()).withColumn("__number", number)
     names = [F.col(f"`{c}`") for c in incoming.columns]
-    return found.where(F.col("__held").isNull()).select(*names).unionByName(
-        known.where(F.col("__number") > F.col("__held")).select(*names)
+    # Equal rows are one with its count, and the rows of a key are dealt to parts by their hash: a key
+    # is numbered by many tasks, which need the sizes of the parts before theirs.
+    counted = incoming.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    parts = int(incoming.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = counted.join(held, same, "left").withColumn("__part", F.pmod(F.xxhash64(*names), F.lit(parts)))
+    known = found.where(F.col("__held").isNotNull())
+    sizes = known.groupBy(*keys, "__part").agg(F.sum("__n").alias("__size"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        *[F.col(k).alias(f"__o{k}") for k in keys],
+        F.col("__part").alias("__opart"),
+        F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+    )
+    placed = F.col("__part") == F.col("__opart")
+    for k in keys:
+        placed = placed & F.col(k).eqNullSafe(F.col(f"__o{k}"))
+    upto = Window.partitionBy(*keys, "__part").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = known.join(offsets, placed).withColumn("__end", F.col("__offset") + F.sum("__n").over(upto))
+    more = F.least(F.col("__n"), F.col("__end") - F.col("__held"))
+    fresh = found.where(F.col("__held").isNull()).select(*names, F.col("__n").alias("__more")).unionByName(
+        numbered.select(*names, more.alias("__more")).where("__more > 0")
     )
+    return fresh.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__more")))).select(*names)
 
 
 def append_new(

@@ -37,7 +37,7 @@ from demandloom.sources.events import (
     to_events,
     write_events,
 )
-from demandloom.sources.online import batch_path, write_online
+from demandloom.sources.online import read_part, write_online
 from demandloom.sources.registry import Registry
 
 
@@ -46,7 +46,8 @@ log = logging.getLogger(__name__)
 SEQUENCE = ("__place", "__read")
 
 
-def _start(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+def start_query(writer, checkpoint: str, available_now: bool) -> StreamingQuery:
+    """Run a query to the end of its input, or until it is stopped."""
     writer = writer.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -97,15 +98,13 @@ def stream_materialize(
             # Of an id saved several times in a batch the last message holds.
             last = latest_per_key(decoded.where(good), LISTING_VIEW.key, *SEQUENCE)
             rows = saved_features(last, as_of)
-            write_online(rows, online_path, writer, number)
+            part = write_online(rows, online_path, writer, number)
         finally:
             decoded.unpersist()
-        written = batch.sparkSession.read.schema(LISTING_VIEW.schema).parquet(
-            batch_path(online_path, writer, number)
-        )
+        written = read_part(batch.sparkSession, online_path, part)
         write_events(to_events(written, [LISTING_VIEW.key], VEHICLE_MATERIALIZED), events_path, number)
 
-    return _start(messages.writeStream.foreachBatch(run), checkpoint, available_now)
+    return start_query(messages.writeStream.foreachBatch(run), checkpoint, available_now)
 
 
 def stream_dead_letter(
@@ -133,7 +132,7 @@ def stream_dead_letter(
         finally:
             decoded.unpersist()
 
-    return _start(messages.writeStream.foreachBatch(run), checkpoint, available_now)
+    return start_query(messages.writeStream.foreachBatch(run), checkpoint, available_now)
 
 
 def event_projection(messages: DataFrame, kind: str) -> DataFrame:
@@ -199,4 +198,4 @@ def stream_champion_scoring(
             f"{out_path}/batch={number}"
         )
 
-    return _start(rows.writeStream.foreachBatch(run), checkpoint, available_now)
+    return start_query(rows.writeStream.foreachBatch(run), checkpoint, available_now)

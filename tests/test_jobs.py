@@ -69,6 +69,15 @@ def test_train_promote_and_score(spark, stores):
     assert model_jobs.score_listings(listings, model, version).where("predicted_reservations >= 0").count() == 63
     assert model_jobs.score_listings(listings.limit(0), model, version).count() == 0
     assert model_jobs.score_listings(listings, None, None).where("predicted_reservations is null").count() == 63
+    torn = listings.withColumn("num_images", F.when(F.col("vehicle_id") > 5, F.col("num_images")))
+    assert model_jobs.score_listings(torn, model, version).where("predicted_reservations is null").count() == 5
+    scored, rejected = model_jobs.score_request(torn.drop("vehicle_id"), model, version)
+    assert scored.where("predicted_reservations >= 0").count() == 58
+    assert rows(rejected.select(F.concat_ws(",", "errors").alias("e")).distinct()) == [("num_images",)]
+    served = model_jobs.served_importances(registry, "demand").first()
+    assert served.version == 1 and set(served.importances) == set(LISTING_VIEW.feature_names)
+    assert abs(sum(served.importances.values()) - 1) < 1e-3
+    assert model_jobs.served_importances(registry, "other").collect() == []
     online = read_online(spark, f"{stores}/online")
     ids = spark.createDataFrame([(101,), (7,)], "vehicle_id long")
     scored, unknown = model_jobs.score_ids(ids, online, model, version)
@@ -141,3 +150,30 @@ def test_command_line(spark, data_dir, capsys):
     main(["load", "--data-dir", data_dir, "--warehouse", f"{root}/w"])
     main(["materialize", "--warehouse", f"{root}/w", "--offline", f"{root}/off", "--online", f"{root}/on"])
     assert spark.read.parquet(f"{root}/off").count() == 60
+
+
+def test_command_line_of_the_catalogue_and_the_streams(spark, data_dir, tmp_path, capsys):
+    root = scratch_path(spark, "cli")
+    main(["load", "--data-dir", data_dir, "--warehouse", f"{root}/w"])
+    header = HEADER.removeprefix("vehicle_id,")
+    (tmp_path / "new.csv").write_text(f"{header}\n1,40,50,3,1,20\n7,40,50,3,1,20\n0,41,50,3,1,20\n")
+    save = ["save", "--warehouse", f"{root}/w", "--input", str(tmp_path / "new.csv"), "--rejects", f"{root}/rejects"]
+    main(save)
+    main(["deliver", "--warehouse", f"{root}/w", "--events", f"{root}/messages"])
+    assert "saved 2 listings, not announced" in (said := capsys.readouterr().out) and "delivered 2 events" in said
+    main(["stream-materialize", "--messages", f"{root}/messages/*", "--online", f"{root}/on", "--events", f"{root}/told",
+          "--rejects", f"{root}/unread", "--checkpoint", f"{root}/c"])
+    assert rows(read_online(spark, f"{root}/on"), "vehicle_id") == [(61,), (62,)]
+    main(["merge", "--online", f"{root}/on", "--keep", "1"])
+    assert rows(read_online(spark, f"{root}/on"), "vehicle_id") == [(61,), (62,)]
+    main(["delete", "--warehouse", f"{root}/w", "61", "5"])
+    assert "blocked" in capsys.readouterr().out
+    main(["score", "--registry", f"{root}/none", "--input", str(tmp_path / "new.csv"), "--rejects", f"{root}/r", "--output", f"{root}/s"])
+    assert spark.read.parquet(f"{root}/s").where("predicted_reservations is null").count() == 2
+    assert spark.read.parquet(f"{root}/r").count() == 1
+    told = spark.range(1).selectExpr("'m' as model_name", "'4' as version", "timestamp'2025-01-01' as at")
+    ev.to_events(told, ["model_name", "version", "at"]).write.text(f"{root}/promoted")
+    told.selectExpr("5L as vehicle_id", "timestamp'2025-01-02' as at", *[f"1.0 as {c}" for c in LISTING_VIEW.feature_names]).write.parquet(f"{root}/rows")
+    main(["stream-score", "--rows", f"{root}/rows", "--promotions", f"{root}/promoted", "--registry", f"{root}/none",
+          "--model-name", "m", "--output", f"{root}/scored", "--checkpoint", f"{root}/c2"])
+    assert rows(spark.read.parquet(f"{root}/scored/rows"), "vehicle_id", "predicted_reservations") == [(5, None)]

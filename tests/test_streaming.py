@@ -12,8 +12,11 @@ from demandloom.session import scratch_path
 from demandloom.sources import events as ev
 from demandloom.sources.online import read_online
 from demandloom.sources.registry import Registry
+from demandloom.sources.snapshots import Store
 from demandloom.streaming import event_projection, stream_champion_scoring, stream_materialize
+from demandloom.streaming.event_time import announce_once, store_by_event_time
 from demandloom.streaming.jobs import saved_features
+from demandloom.streaming.promotions import registered_scorer, score_by_promotions, with_control
 
 FEATURES = LISTING_VIEW.feature_names
 
@@ -86,7 +89,7 @@ def test_a_batch_that_runs_again_leaves_one_copy(spark, channel):
     stream_materialize(
         messages, f"{root}/online", f"{root}/events", f"{root}/rejects", f"{root}/checkpoint-2"
     ).awaitTermination()
-    assert spark.read.parquet(f"{root}/online").count() == 1
+    assert [p.rows for p in Store(spark, f"{root}/online").snapshot().parts] == [1]
     assert spark.read.text(f"{root}/events").count() == 1
     assert spark.read.parquet(f"{root}/rejects").count() == 1
 
@@ -158,3 +161,86 @@ def test_scoring_follows_the_champion(spark, tmp_path):
         (3, 5.0, "2"),
         (99, None, None),
     ]
+
+
+def timed(vid, hour, **changes):
+    return saved(vid, saved_at=f"2025-01-01T{hour:02d}:00:00.000Z", **changes)
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_arrival_order_does_not_matter_with_event_time(spark, tmp_path, files):
+    lines = [timed(1, 5, num_images=1), timed(1, 9, num_images=2), timed(2, 3, num_images=3), timed(2, 3, num_images=4)]
+    lines += [timed(3, 1, technology=4), saved(4), "broken {"]
+    want = [(1, 2, 9), (2, 4, 3)]
+    for name, order in (("a", lines), ("b", lines[::-1]), ("c", lines[3:] + lines[:3])):
+        root, folder = scratch_path(spark, "t"), tmp_path / name
+        folder.mkdir()
+        for k, line in enumerate(order):
+            (folder / f"{k}.txt").write_text(line + "\n")
+        messages = ev.stream_messages(spark, str(folder), files_per_batch=files)
+        store_by_event_time(messages, f"{root}/online", f"{root}/rejects", f"{root}/c").awaitTermination()
+        got = read_online(spark, f"{root}/online").withColumn("hour", F.hour("event_timestamp"))
+        assert rows(got, "vehicle_id", "num_images", "hour") == want
+        assert spark.read.parquet(f"{root}/rejects").count() == 3
+
+
+def test_repeated_deliveries_are_announced_once(spark, channel):
+    root = scratch_path(spark, "t")
+    channel(timed(1, 5), timed(2, 5))
+    channel(timed(1, 5), timed(1, 6), timed(3, 6, technology=9))
+    folder = channel(timed(2, 5))
+    messages = ev.stream_messages(spark, folder, files_per_batch=1)
+    announce_once(messages, f"{root}/events", f"{root}/c", "1 day").awaitTermination()
+    told = event_projection(spark.read.text(f"{root}/events"), ev.VEHICLE_MATERIALIZED)
+    assert rows(told, "vehicle_id") == [(1,), (1,), (2,)]
+
+
+def test_promotions_decide_by_their_time_and_are_replayed(spark, tmp_path):
+    root = scratch_path(spark, "p")
+    schema = "vehicle_id long, at timestamp"
+    incoming, control = tmp_path / "rows", tmp_path / "control"
+    control.mkdir()
+    spark.createDataFrame([], schema).write.parquet(str(incoming))
+
+    def arrive(*cells):
+        rows_ = spark.createDataFrame(list(cells), "vehicle_id long, at string").withColumn("at", F.to_timestamp("at"))
+        rows_.coalesce(1).write.mode("append").parquet(str(incoming))
+
+    def tell(*promotions):
+        lines = [json.dumps({"model_name": m, "version": v, "at": at}) for m, v, at in promotions]
+        (control / f"{len(os.listdir(control))}.txt").write_text("\n".join(lines) + "\n")
+
+    def run(checkpoint="c"):
+        stream = with_control(
+            spark.readStream.schema(schema).parquet(str(incoming)), ev.stream_messages(spark, str(control))
+        )
+        score_by_promotions(
+            stream, "m", lambda df, v: df.withColumn("predicted_reservations", F.lit(float(v))).withColumn("model_version", F.lit(v)),
+            f"{root}/out", f"{root}/{checkpoint}", f"{root}/events",
+        ).awaitTermination()
+        return rows(spark.read.parquet(f"{root}/out/rows"), "vehicle_id", "model_version", "predicted_reservations")
+
+    tell(("m", "2", "2025-01-01T02:00:00Z"), ("other", "9", "2025-01-01T00:00:00Z"), ("m", None, "2025-01-01T00:00:00Z"))
+    arrive((1, "2025-01-01 01:59:59"), (2, "2025-01-01 02:00:00"), (3, "2025-01-01 05:00:00"))
+    first = [(1, None, None), (2, "2", 2.0), (3, "2", 2.0)]
+    assert run() == first
+    tell(("m", "3", "2025-01-01T04:00:00Z"))
+    arrive((4, "2025-01-01 03:00:00"), (5, "2025-01-01 04:30:00"))
+    # Row 3 came before the promotion was known and stays as it was written.
+    assert run() == first + [(4, "2", 2.0), (5, "3", 3.0)]
+    told = spark.read.text(f"{root}/events")
+    assert rows(event_projection(told, ev.HEALTH_CHANGED), "model_version") == [("2",), ("3",)]
+    # A batch that runs again without its checkpoint sees the promotions of its number.
+    assert run("again")[0] == (1, None, None)
+
+
+def test_a_registered_model_scores_by_its_version(spark):
+    registry = Registry(spark, scratch_path(spark, "r")).create()
+    train = spark.range(20).selectExpr("id as vehicle_id", *[f"cast(id as double) as {c}" for c in FEATURES], "4.0 as y")
+    model = models.train(train, FEATURES, "y", models.forest(trees=1, depth=1))
+    path = registry.log_run("run", model, spark.createDataFrame([], "name string, value double"), {}, {})
+    registry.register("m", "run", path)
+    scorer = registered_scorer(registry, "m")
+    incomplete = train.withColumn("price_diff", F.when(F.col("vehicle_id") > 0, F.col("price_diff")))
+    assert scorer(incomplete, "1").where("predicted_reservations = 4.0").count() == 19
+    assert scorer(incomplete, "8").where("predicted_reservations is null").count() == 20
