@@ -132,5 +132,48 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return mix(total, width)
 
 
+#: Modulus and base of a second polynomial; sums of 2**33 residues stay below 2**64.
+_PRIME = (1 << 31) - 1
+_SECRET = 1_402_946_357
+
+
+def _residue_powers(base: int, n: int) -> np.ndarray:
+    """The first `n` powers of `base` modulo the prime, kept for the next batch."""
+    known = _tables.get(("residue", base))
+    if known is None or len(known) < n:
+        grown = np.ones(1, np.uint64)
+        step = base
+        while len(grown) < max(n, 1 << 16):
+            grown = np.concatenate([grown, grown * np.uint64(step) % np.uint64(_PRIME)])
+            step = step * step % _PRIME
+        known = _tables[("residue", base)] = grown
+    return known[:n]
+
+
+def firm_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Like `span_hashes`, with a polynomial modulo a prime beside the one modulo 2**64.
+
+    The latter alone gives equal values to some long strings of two letters, whatever its base is.
+    """
+    n = len(data)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    prime = np.uint64(_PRIME)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _residue_powers(_SECRET, n) % prime
+    np.cumsum(terms, out=total[1:])
+    value = (total[ends] - total[starts]) % prime * _residue_powers(pow(_SECRET, -1, _PRIME), n + 1)[starts] % prime
+    return mix(span_hashes(data, starts, ends) ^ (value << np.uint64(32)), seed)
+
+
+def firm_shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every `width` words in a row, each word mixed in by its place."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total = mix(total ^ words[k : k + n], k)
+    return total
+
+
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
