@@ -102,14 +102,51 @@ def sound(edits: list[tuple[int, int, str]], length: int) -> list[tuple[int, int
     return out
 
 
+class Suffix:
+    """The edited end of a text: the text up to `begin`, then pieces, of which the last is the first."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.begin, self.pieces = text, len(text), []
+
+    def take(self, low: int, high: int) -> str:
+        """Cuts off what now lies from `low` to `high`; the pieces begin after it. Up to `low` nothing has changed."""
+        if self.begin < low:
+            self._cut(low - self.begin)
+        else:
+            self.pieces.append(self.text[low : self.begin])
+        return self._cut(high - low)
+
+    def _cut(self, chars: int) -> str:
+        out = []
+        while chars > 0 and self.pieces:
+            piece = self.pieces.pop()
+            if len(piece) > chars:
+                self.pieces.append(piece[chars:])
+                piece = piece[:chars]
+            out.append(piece)
+            chars -= len(piece)
+        return "".join(out)
+
+    def put(self, piece: str, begin: int) -> None:
+        self.pieces.append(piece)
+        self.begin = begin
+
+    def whole(self) -> str:
+        return self.text[: self.begin] + "".join(reversed(self.pieces))
+
+
 def edited(text: str, tree: Tree, edits: list[tuple[int, int, str]], encode) -> tuple[str, int]:
-    """Applies sound edits, last first, to the text and its tree; returns the text and how many leaves were encoded."""
-    again = 0
+    """Applies sound edits, last first, to the text and its tree; returns the text and how many leaves were encoded.
+
+    The parts that are left and those that are new are joined once, so the time is that of the text and
+    of the leaves that edits touch.
+    """
+    again, end = 0, Suffix(text)
     for low, high, new in reversed(edits):
         first, start = tree.find(low)
         last, begin = tree.find(max(low, high - 1))
         stop = begin + int(tree.sums[tree.width + last, 0])
-        part = text[start:low] + new + text[high:stop]
+        part = text[start:low] + new + end.take(high, stop)
         # Boundary context: without a sure beginning the part may join with what stands before it.
         while start > 0 and not _CUT.match(part):
             first, before = tree.find(start - 1)
@@ -121,9 +158,9 @@ def edited(text: str, tree: Tree, edits: list[tuple[int, int, str]], encode) ->
         leaves += [""] * (slots - len(leaves))
         for k, (leaf, ids) in enumerate(zip(leaves, encode(leaves), strict=True)):
             tree.put(first + k, len(leaf), len(ids) // 4)
-        text = text[:start] + part + text[stop:]
+        end.put(part, start)
         again += slots
-    return text, again
+    return end.whole(), again
 
 
 def with_trees(docs: DataFrame, text: str = "text", tree: str = "tree", tokens: str = "n_tokens") -> DataFrame:

@@ -115,7 +115,7 @@ def hilbert_order(
     Row counts of shards differ by one at most. Rows are ordered by curve cell, then by hash part and
     key; ties of equal keys are ordered by nothing but are still placed apart. Null keys and null
     dimensions are placed like others (level 0); an empty table stays empty; columns named `shard` or
-    `slot` are replaced. The result is range-partitioned along the curve and sorted within partitions.
+    `slot` are replaced. Texts that agree in six bytes after what all values begin with have one level. The result is range-partitioned along the curve and sorted within partitions.
     """
     if len(dimensions) * bits > MAX_CELL_BITS:
         raise ValueError(f"dimensions * bits may be {MAX_CELL_BITS} at most")
@@ -125,7 +125,6 @@ def hilbert_order(
     names = [fresh(f"level{k}") for k in range(len(dimensions))]
     levels = quantised(docs, dimensions, bits)
     total = docs.count()
-    parts = max(1, -(-total // PART_ROWS))
     # The curve is worked out once for each possible cell, at most 2**MAX_CELL_BITS rows, and looked up.
     grid = fresh("grid")
     spread = F.lit(0).cast("long")
@@ -139,13 +138,17 @@ def hilbert_order(
         ],
     )
     curve = staged(with_hilbert(curve, names, bits, cell).select(grid, cell), "curve")
+    # A cell has as many parts as its own rows need, so counts by part stay near cells + rows / PART_ROWS.
+    sizes = docs.select(spread.alias(grid)).groupBy(grid).agg(F.ceil(F.count("*") / PART_ROWS).alias(fresh("x")))
+    width = fresh("parts")
+    looked_up = staged(curve.join(sizes.toDF(grid, width), grid), "parts")
     celled = (
         docs.select("*", spread.alias(grid))
-        .join(F.broadcast(curve), grid)
+        .join(F.broadcast(looked_up), grid)
         .select(
             *columns,
             cell,
-            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [key, *dimensions]]), F.lit(parts)).alias(part),
+            F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [key, *dimensions]]), F.col(width)).alias(part),
         )
     )
     counts = staged(celled.groupBy(cell, part).agg(F.count("*").alias("n")), "cells")
@@ -160,9 +163,13 @@ def hilbert_order(
     ranked = celled.repartitionByRange(cell, part).withColumn(
         place, F.row_number().over(Window.partitionBy(cell, part).orderBy(F.col(f"`{key}`"))) - 1
     )
-    placed = ranked.join(sized(starts, 24), [cell, part]).select(
+    # Beyond the bound of a broadcast the join deals rows by hash; they are put back in order then.
+    known = sized(starts, 24)
+    placed = ranked.join(known, [cell, part]).select(
         *columns, (F.col("start") + F.col(place)).cast("long").alias(place)
     )
+    if known is starts:
+        placed = placed.repartitionByRange(place).sortWithinPartitions(place)
     shard = F.expr(f"`{place}` * {shards} div {max(total, 1)}")
     frame = placed.select(*columns, place, shard.cast("int").alias("shard"))
     low = F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")

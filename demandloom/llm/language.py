@@ -21,9 +21,12 @@ from .words import mix, pieces, text_bytes
 
 BITS = 14
 NGRAMS = 3
-#: Training documents of each language that the weights are fitted on, and languages that are learned.
+#: Training documents of each language that the weights are fitted on.
 SAMPLE_PER_LANGUAGE = 1500
-MOST_LANGUAGES = 64
+#: Languages that are fitted together; more are cut into blocks, each with a class for all the others.
+BLOCK_LANGUAGES = 64
+#: A language's keys are thinned by hash to some so many times its sample before they are ranked.
+SPARE = 3
 EPOCHS = 3
 #: Step size, its offset, and the elastic-net penalties on absolute and squared weights.
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-3
@@ -157,17 +160,29 @@ def _frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return df[:-1], int(df[-1])
 
 
-def _sample(train: DataFrame, key: str, lang: str, per_language: int, most: int) -> tuple[DataFrame, list[str]]:
-    """`(key, label, turn)` of the sample; `turn` is its random but fixed order. Classes by name."""
-    sizes = train.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
-    classes = sorted(r["lang"] for r in sizes.orderBy(F.desc("n"), "lang").limit(most).collect())
-    if not classes:
-        return train.select(key, F.lit(0).alias("label"), F.lit(0).cast("long").alias("turn")).limit(0), classes
-    number = F.coalesce(*[F.when(F.col(lang) == c, F.lit(k)) for k, c in enumerate(classes)])
+def _sample(train: DataFrame, key: str, lang: str, per_language: int) -> tuple[DataFrame, list[str]]:
+    """`(key, class, turn)` of the sample; `turn` is its random but fixed order. Classes by name.
+
+    The rows of a language are thinned to those of the lowest turns, by the number of its keys, before any
+    are ranked together, so a language with most rows sends no more than others. A key counts once.
+    """
+    keys = F.approx_count_distinct(key).alias("n")
+    sizes = staged(train.groupBy(F.col(lang).alias("lang")).agg(keys), "languages")
+    # One row for each language.
+    classes = sorted(r["lang"] for r in sizes.select("lang").collect())
     turn = F.xxhash64(F.lit("sample"), F.col(key))
-    ranked = train.select(key, number.alias("label"), turn.alias("turn")).where("label is not null")
-    order = Window.partitionBy("label").orderBy("turn", key)
-    return ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r"), classes
+    share = F.least(F.lit(1.0), F.lit(SPARE * per_language) / F.col("n"))
+    numbers = train.sparkSession.createDataFrame(list(zip(classes, range(len(classes)), strict=True)), "lang string, class int")
+    known = sized(staged(sizes.join(numbers, "lang"), "classes"), F.length("lang") + 64)
+    thin = (
+        train.select(key, F.col(lang).alias("lang"), turn.alias("turn"))
+        .join(known, "lang")
+        .where(F.col("turn").cast("double") <= share * float(1 << 64) - float(1 << 63))
+        .select(key, "class", "turn")
+        .distinct()
+    )
+    order = Window.partitionBy("class").orderBy("turn", key)
+    return thin.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language), classes
 
 
 def learn(
@@ -176,20 +191,37 @@ def learn(
     text: str = "text",
     lang: str = "lang",
     per_language: int = SAMPLE_PER_LANGUAGE,
-    most_languages: int = MOST_LANGUAGES,
+    block: int = BLOCK_LANGUAGES,
 ) -> dict:
     """The model of the labelled rows of `docs`; rows with a null key, text or label teach nothing.
 
-    Document frequencies cover all of them. The weights are fitted on `per_language` rows, by hash
-    order, of each of the `most_languages` most frequent labels, which bounds the one task that trains.
+    Document frequencies cover all of them. Every label is learned, from `per_language` of its rows by
+    hash order. Up to `block` labels are fitted together, in one task. More are cut into blocks by name,
+    a task each, in which all other labels are one class more, taught by the first rows of each; the
+    odds of a label against that class are what blocks have in common. Weights take 64 KB a label.
     """
     train = docs.select(key, text, lang).where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     df, rows = _frequencies(train, text)
     idf = np.log((1 + rows) / (1 + df)) + 1
-    chosen, classes = _sample(train, key, lang, per_language, most_languages)
+    chosen, classes = _sample(train, key, lang, per_language)
+    blocks = [classes[k : k + block] for k in range(0, len(classes), block)]
     if not classes:
-        return {"classes": [], "weights": np.zeros((0, 1 << BITS)), "idf": idf, "temperature": 1.0}
-    chosen = staged(chosen.dropDuplicates([key]), "sample")
+        return {"classes": [], "blocks": [], "idf": idf}
+    # A key of several labels teaches the one that comes first.
+    first = Window.partitionBy(key).orderBy("class")
+    chosen = chosen.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
+    other = -(-block * per_language // (4 * len(classes)))
+    own = F.floor(F.col("class") / block).cast("int")
+    groups = F.array(own)
+    if len(blocks) > 1:
+        every = F.sequence(F.lit(0), F.lit(len(blocks) - 1))
+        groups = F.when(F.col("r") <= other, every).otherwise(groups)
+    chosen = staged(
+        chosen.withColumn("block", F.explode(groups)).select(
+            key, "turn", "block", F.when(F.col("block") == own, F.col("class") - own * block).otherwise(-1).cast("int").alias("label")
+        ),
+        "sample",
+    )
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
@@ -200,34 +232,57 @@ def learn(
                 at_out.append(at.astype("<u2").tobytes())
                 x_out.append(x.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), batch.column("turn"), pa.array(at_out, pa.binary()), pa.array(x_out, pa.binary())],
-                names=["label", "turn", "buckets", "x"],
+                [batch.column(key), pa.array(at_out, pa.binary()), pa.array(x_out, pa.binary())], names=[key, "buckets", "x"]
             )
 
+    sizes = [len(b) for b in blocks]
+
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("turn", "ascending")])
+        number = table["block"][0].as_py()
+        rest_class = sizes[number]
         seen = [
-            (np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(x, "<f4").astype(float), label)
+            (np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(x, "<f4").astype(float), rest_class if label < 0 else label)
             for a, x, label in zip(*(table[c].to_pylist() for c in ("buckets", "x", "label")), strict=True)
         ]
         held = seen[::CALIBRATE_EVERY] if len(seen) >= 10 * CALIBRATE_EVERY else []
         rest = [r for k, r in enumerate(seen) if k % CALIBRATE_EVERY] if held else seen
-        weights = train_ftrl(rest, len(classes))
-        scores = np.array([weights[:, at] @ x for at, x, _ in held]).reshape(len(held), len(classes))
+        total = rest_class + (len(sizes) > 1)
+        weights = train_ftrl(rest, total)
+        scores = np.array([weights[:, at] @ x for at, x, _ in held]).reshape(len(held), total)
         temperature = fit_temperature(scores, np.array([y for _, _, y in held], int))
         return pa.table(
-            {"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "temperature": pa.array([temperature])}
+            {
+                "block": pa.array([number], pa.int32()),
+                "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()),
+                "temperature": pa.array([temperature]),
+            }
         )
 
-    texts = train.select(key, text).join(sized(chosen, 24), key).select(text, "label", "turn")
-    counted = texts.mapInArrow(features, "label int, turn long, buckets binary, x binary")
-    model = staged(
-        counted.groupBy(F.lit(1).alias("one")).applyInArrow(fit, "weights binary, temperature double"), "model"
-    ).first()
-    if model is None:
-        return {"classes": [], "weights": np.zeros((0, 1 << BITS)), "idf": idf, "temperature": 1.0}
-    weights = np.frombuffer(model["weights"], "<f4").reshape(len(classes), 1 << BITS)
-    return {"classes": classes, "weights": weights, "idf": idf, "temperature": model["temperature"]}
+    keys = chosen.select(key).distinct()
+    texts = train.join(sized(staged(keys, "keys"), 16), key, "left_semi").groupBy(key).agg(F.min(text).alias(text))
+    counted = texts.mapInArrow(features, T.StructType([docs.schema[key], *_FEATURES])).join(chosen, key)
+    fitted = staged(
+        counted.groupBy("block").applyInArrow(fit, "block int, weights binary, temperature double"), "model"
+    ).collect()
+    found = [
+        (names, np.frombuffer(row["weights"], "<f4").reshape(-1, 1 << BITS), row["temperature"])
+        for row in sorted(fitted, key=lambda r: r["block"])
+        for names in [blocks[row["block"]]]
+    ]
+    return {"classes": [c for names, _, _ in found for c in names], "blocks": found, "idf": idf}
+
+
+_FEATURES = [T.StructField("buckets", T.BinaryType()), T.StructField("x", T.BinaryType())]
+
+
+def log_odds(blocks: list, at: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Calibrated scores of all labels, against the class of the others where there are several blocks."""
+    out = []
+    for _, weights, heat in blocks:
+        s = (weights[:, at] @ x).astype(float) / heat
+        out.append(s if len(blocks) == 1 else s[:-1] - s[-1])
+    return np.concatenate(out)
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -244,8 +299,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counter = shared.value, Counter()
-        weights = np.ascontiguousarray(known["weights"], dtype=np.float32)
-        idf, classes, heat = known["idf"].astype(np.float32), known["classes"], known["temperature"]
+        idf, classes = known["idf"].astype(np.float32), known["classes"]
         for batch in pieces(batches, text):
             names, scores = [], []
             for counts, letter in counter.counts(batch.column(text)):
@@ -254,7 +308,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", lang_pred: str = "
                     scores.append(0.0)
                     continue
                 at, x = weighted(counts, idf)
-                s = (weights[:, at] @ x.astype(np.float32)).astype(float) / heat
+                s = log_odds(known["blocks"], at, x.astype(np.float32))
                 p = np.exp(s - s.max())
                 best = int(p.argmax())
                 names.append(classes[best])

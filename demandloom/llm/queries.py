@@ -228,9 +228,17 @@ WITH RECURSIVE tags AS (SELECT url AS source, unnest(regexp_extract_all(html, '(
 found AS (SELECT source, regexp_extract(tag, '(?is)\b(?:href|url)\s*=\s*["'']?\s*([^"''>\s]+)', 1) AS t FROM tags
   WHERE regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?\s*canonical\b')
   OR regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b')),
-urls AS (SELECT DISTINCT source, CASE WHEN t LIKE '%://%' THEN t
+based AS (SELECT source, t, regexp_extract(source, '(?s)^(.*?://)', 1) AS scheme, {_url_parts('source')},
+  regexp_extract(t, '(?s)^([^?#]*)', 1) AS name, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS query FROM found),
+placed AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE path END AS own, CASE WHEN name LIKE '/%' THEN name
+  ELSE regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '(?s)^(.*/)', 1) || name END AS beside FROM based),
+cut AS (SELECT *, string_split(substr(beside, 2), '/') AS s FROM placed),
+urls AS (SELECT DISTINCT source, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.\-]*://') THEN t
   WHEN t LIKE '//%' THEN split_part(source, '://', 1) || ':' || t
-  WHEN t LIKE '/%' THEN regexp_extract(source, '(?s)^(.*?://[^/?#]*)', 1) || t END AS target FROM found),
+  WHEN t <> '' AND NOT regexp_matches(t, '(?i)^(?:#|[a-z][a-z0-9+.\-]*:)') THEN scheme || host || CASE WHEN name = '' THEN own
+  ELSE '/' || array_to_string(list_reduce([[]::VARCHAR[]] || list_transform(CASE WHEN s[-1] IN ('.', '..') THEN s || [''] ELSE s END,
+  lambda x: [x]), lambda d, x: CASE x[1] WHEN '..' THEN d[1:len(d) - 1] WHEN '.' THEN d ELSE d || x END), '/') END || query
+  END AS target FROM cut),
 named AS (SELECT url, host, path, host || tail AS node FROM (SELECT url, {_url_parts('url')} FROM (
   SELECT url FROM pages UNION SELECT source FROM urls UNION SELECT target FROM urls WHERE target IS NOT NULL))),
 ruled AS (SELECT *, CASE {_FITS} END AS fit FROM named),

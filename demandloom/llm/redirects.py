@@ -17,8 +17,8 @@ from .components import connected_components
 from .frames import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules are part of the plan, so their number is bounded.
-MOST_RULES = 1000
+#: Up to so many rules are part of the plan; more are a table that urls are joined with.
+PLANNED_RULES = 1000
 
 
 @dataclass(frozen=True)
@@ -53,8 +53,6 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
     A rule fits its host and all subdomains of it where the path begins with the rule's.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{MOST_RULES} rules at most")
     name = verdict = None
     for rule in sorted(rules, key=lambda r: (-len(r.name), r.name)):
         fits = ((host == rule.host) | host.endswith(f".{rule.host}")) & path.startswith(rule.path)
@@ -64,6 +62,44 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return (none, none) if name is None else (name, verdict)
 
 
+def with_rules(df: DataFrame, rules: list[Rule] | DataFrame, planned: int = PLANNED_RULES) -> DataFrame:
+    """`df` with `rule` and `verdict` of the longest rule that fits its `host` and `path`, else null.
+
+    `rules` is a list, or a table `(verdict, host, path)` of any size; of two verdicts for one rule
+    "allow" counts. With a table, the suffixes of each distinct host meet the lengths of the paths that
+    rules of that suffix have, so a url becomes a few rows, which are joined with the rules by host and
+    path. Nothing grows with urls times rules.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= planned:
+            name, verdict = rule_of(F.col("host"), F.col("path"), rules)
+            return df.select("*", name.alias("rule"), verdict.alias("verdict"))
+        cells = [(r.verdict, r.host, r.path) for r in rules]
+        rules = df.sparkSession.createDataFrame(cells, "verdict string, host string, path string")
+    table = rules.groupBy(F.col("host").alias("rule_host"), F.col("path").alias("rule_path")).agg(
+        F.min("verdict").alias("verdict")
+    )
+    table = staged(table, "rules")
+    lengths = table.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("sizes"))
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(
+        F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")
+    )
+    urls = df.select("host", "path").distinct()
+    tried = (
+        urls.select("host", "path", F.explode(suffixes).alias("rule_host"))
+        .join(lengths, "rule_host")
+        .select("host", "path", "rule_host", F.explode("sizes").alias("size"))
+        .where("size <= length(path)")
+        .select("host", "path", "rule_host", F.expr("left(path, size)").alias("rule_path"))
+    )
+    name = F.concat("rule_host", "rule_path")
+    longest = F.min(F.struct((-F.length(name)).alias("order"), name.alias("name"), F.col("verdict").alias("verdict")))
+    best = tried.join(table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(longest.alias("best"))
+    found = df.join(best, ["host", "path"], "left")
+    return found.select(*df.columns, F.col("best.name").alias("rule"), F.col("best.verdict").alias("verdict"))
+
+
 def resource(url: Column) -> Column:
     """The node of a url: what it names without scheme, fragment and the case of its host; null without `://`."""
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
@@ -117,15 +153,17 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 
 def judge_urls(
     pages: DataFrame,
-    rules: list[Rule],
+    rules: list[Rule] | DataFrame,
     redirects: DataFrame | None = None,
     key: str = "page_id",
     url: str = "url",
     html: str = "html",
+    planned: int = PLANNED_RULES,
 ) -> DataFrame:
     """`(key, host, path, rule, verdict)` of every row of `pages`, with `alias_root` of linked urls.
 
-    `redirects`, if given, has string columns `source` and `target`. `verdict` is the rule's, where
+    `rules` is a list or a table, see `with_rules`. `redirects`, if given, has string columns `source` and
+    `target`. `verdict` is the rule's, where
     one fits. Else it is "block" if a url of the component is blocked by a rule and none is allowed by
     one, and "allow" otherwise. Urls at the far end of an edge count even if they are no page. Null
     urls, and urls without `://`, have no host, path, rule or alias and are allowed. Null html has no
@@ -139,9 +177,10 @@ def judge_urls(
     roots = staged(connected_components(edges), "roots")
 
     ends = found.select(F.explode(F.array("source", "target")).alias("url"))
-    linked = ends.unionByName(pages.select(F.col(url).alias("url"))).select(
-        resource(F.col("url")).alias("node"), rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)[1].alias("own")
+    named = ends.unionByName(pages.select(F.col(url).alias("url"))).select(
+        resource(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     )
+    linked = with_rules(named, rules, planned).select("node", F.col("verdict").alias("own"))
     # Only urls in a component pass a decision on; the sums are combined before the shuffle.
     decided = (
         linked.where("own is not null")
@@ -155,12 +194,12 @@ def judge_urls(
     judged = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select(
         "key", host.alias("host"), path.alias("path"), resource(F.col("url")).alias("node")
     )
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return judged.join(members, "node", "left").select(
+    passed_on = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
+    return with_rules(judged, rules, planned).join(members, "node", "left").select(
         F.col("key").alias(key),
         "host",
         "path",
-        rule.alias("rule"),
-        F.coalesce(verdict, F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")).alias("verdict"),
+        "rule",
+        F.coalesce("verdict", passed_on).alias("verdict"),
         F.col("root").alias("alias_root"),
     )

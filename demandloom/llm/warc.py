@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import scratch_path, sized, staged
 
@@ -26,6 +27,8 @@ from .frames import scratch_path, sized, staged
 MIN_REVISIT_BYTES = 0
 RECORDS_PER_FILE = 20_000
 MEMBER_LEVEL = 4
+#: Rows of the index that are held before they are passed on.
+INDEX_ROWS = 10_000
 #: Pages carry no time of capture; WARC asks for one.
 CAPTURED = "1970-01-01T00:00:00Z"
 _PIECE = 1 << 20
@@ -196,8 +199,11 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, It
         yield fields, head, rest()
 
 
-def _normalise_one(uri: str, target: str) -> list[tuple]:
-    """Rewrites one file as `<target>/<name>` and `<name>.idx`; both appear whole or not at all."""
+def _normalise_one(uri: str, target: str) -> Iterator[pa.RecordBatch]:
+    """Rewrites one file as `<target>/<name>` and `<name>.idx`; both appear whole or not at all.
+
+    Yields the index as it grows, so that no more than a batch of it is held.
+    """
     source_fs, source_path = _open(uri)
     fs, folder = _open(target)
     name = re.sub(r"(\.txt)?\.gz$", "", uri.rsplit("/", 1)[-1]) + ".warc.gz"
@@ -205,9 +211,11 @@ def _normalise_one(uri: str, target: str) -> list[tuple]:
     attempt = f".{task.taskAttemptId()}.tmp" if task else ".tmp"
     fs.create_dir(folder, recursive=True)
     rows, at = [], 0
-    with source_fs.open_input_stream(source_path, compression=None) as stream, fs.open_output_stream(
-        f"{folder}/{name}{attempt}", compression=None
-    ) as out:
+    with (
+        source_fs.open_input_stream(source_path, compression=None) as stream,
+        fs.open_output_stream(f"{folder}/{name}{attempt}", compression=None) as out,
+        fs.open_output_stream(f"{folder}/{name}.idx{attempt}", compression=None) as index,
+    ):
         for fields, head, rest in records(inflated(stream)):
             packer = zlib.compressobj(MEMBER_LEVEL, zlib.DEFLATED, 31)
             length = 0
@@ -218,14 +226,16 @@ def _normalise_one(uri: str, target: str) -> list[tuple]:
             packed = packer.flush()
             out.write(packed)
             length += len(packed)
-            rows.append((f"{target}/{name}", at, length, fields["warc-record-id"], fields["warc-type"]))
+            record, kind = fields["warc-record-id"], fields["warc-type"]
+            index.write((json.dumps([at, length, record, kind]) + "\n").encode())
+            rows.append((f"{target}/{name}", at, length, record, kind))
             at += length
-    with fs.open_output_stream(f"{folder}/{name}.idx{attempt}", compression=None) as index:
-        for _, offset, length, record, kind in rows:
-            index.write((json.dumps([offset, length, record, kind]) + "\n").encode())
+            if len(rows) >= INDEX_ROWS:
+                yield _index_batch(rows)
+                rows = []
     fs.move(f"{folder}/{name}{attempt}", f"{folder}/{name}")
     fs.move(f"{folder}/{name}.idx{attempt}", f"{folder}/{name}.idx")
-    return rows
+    yield _index_batch(rows)
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -251,7 +261,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield _index_batch(_normalise_one(path, target))
+                yield from _normalise_one(path, target)
 
     return staged(spread.mapInArrow(work, INDEX_SCHEMA), "warc-index")
 
@@ -318,9 +328,12 @@ def archive_pages(pages: DataFrame, path: str | None = None, **kw) -> DataFrame:
     Below `path` (or the shared folder) `raw` holds whole-file gzip and `members` the normalised files
     with their indexes. Columns: `page_id`, `record_type`, `url`, `payload_bytes`, `payload_digest`,
     `refers_to`. Null html is an empty payload, null urls are empty, null keys stay null, repeated
-    rows are records of their own (all of the smallest key are responses). An empty table gives no rows.
+    rows are records of their own (all of the smallest key are responses). Keys of another type than a
+    whole number are refused. An empty table gives no rows.
     """
     spark = pages.sparkSession
+    if not isinstance(pages.schema[kw.get("key", "page_id")].dataType, T.IntegralType):
+        raise ValueError("keys of pages must be whole numbers")
     path = path or scratch_path(spark, "warc")
     write_archives(with_revisits(pages, **kw), f"{path}/raw")
     index = normalise(spark, f"{path}/raw", f"{path}/members")

@@ -121,3 +121,86 @@ def contamination(rows: list[tuple], items: list[tuple], width: int = 13) -> lis
 
 def ordered(rows) -> list[tuple]:
     return sorted((tuple(r) for r in rows), key=repr)
+
+
+#: The hash constants that decide where chunks end.
+BASE, STEP, MIXES, FULL = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (1 << 64) - 1
+
+
+def scrambled(x: int, seed: int) -> int:
+    x = (x + STEP * (seed + 1)) & FULL
+    x = (x ^ (x >> 30)) * MIXES[0] & FULL
+    x = (x ^ (x >> 27)) * MIXES[1] & FULL
+    return x ^ (x >> 31)
+
+
+def line_hash(raw: bytes) -> int:
+    value, power = 0, 1
+    for c in raw:
+        value, power = (value + (c + 1) * power) & FULL, power * BASE & FULL
+    return scrambled((value + len(raw) * MIXES[0]) & FULL, 0)
+
+
+def line_runs(raw: bytes, long_line: int, window: int, divisor: int, min_words: int) -> tuple[list[tuple], set[tuple]]:
+    """Lines with words as (start, end, words), and the (first, last) lines of chunks and windows."""
+    lines, at = [], 0
+    for line in raw.split(b"\n"):
+        words = len(re.findall(rb"[^\x20\x09-\x0D]+", line))
+        if words:
+            lines.append((at, at + len(line), words))
+        at += len(line) + 1
+    hashes, found, first = [line_hash(raw[a:b]) for a, b, _ in lines], set(), 0
+    for k, (_, _, words) in enumerate(lines):
+        rolling = 0
+        for h in hashes[max(0, k - window + 1) : k + 1]:
+            rolling = (rolling * BASE + h) & FULL
+        ends = k + 1 >= window and scrambled(rolling, window) % divisor == 0
+        if ends or words >= long_line or k + 1 == len(lines) or lines[k + 1][2] >= long_line:
+            found.add((first, k))
+            first = k + 1
+    short = [words < long_line for _, _, words in lines]
+    for k in range(len(lines)):
+        for steps in (range(k, len(lines)), range(k, -1, -1)):
+            total = 0
+            for j in steps:
+                total += lines[j][2]
+                if total >= min_words:
+                    low, high = min(k, j), max(k, j)
+                    if any(short[low : high + 1]):
+                        found.add((low, high))
+                    break
+    return lines, found
+
+
+def without_repeats(rows: list[tuple], drop_emptied: bool = False, min_words: int = 40) -> list[tuple]:
+    """(row with its text cut, runs removed, words removed) of every row, from all chunks and windows."""
+    cut = {r[0]: (raw := (r[1] or "").encode(), *line_runs(raw, 12, 2, 3, min_words)) for r in rows if r[0] is not None}
+    places = defaultdict(list)
+    for key, (raw, lines, found) in cut.items():
+        for low, high in found:
+            places[raw[lines[low][0] : lines[high][1]]].append((key, low, high))
+    repeated = defaultdict(list)
+    for owners in places.values():
+        key, low, high = min(owners)
+        for k, a, b in owners:
+            if not (k == key and a < low + b + 1 - a):
+                repeated[k].append((a, b))
+    out = []
+    for r in rows:
+        raw, lines, _ = cut.get(r[0], (b"", [], None))
+        islands: list[list[int]] = []
+        for a, b in sorted(set(repeated[r[0]])):
+            if islands and a <= islands[-1][1] + 1:
+                islands[-1][1] = max(islands[-1][1], b)
+            else:
+                islands.append([a, b])
+        sizes = [(a, b, sum(words for _, _, words in lines[a : b + 1])) for a, b in islands]
+        gone = [x for x in sizes if x[2] >= min_words]
+        text = raw
+        for a, b, _ in reversed(gone):
+            end = lines[b][1]
+            text = text[: lines[a][0]] + text[end + (raw[end : end + 1] == b"\n") :]
+        if not (drop_emptied and gone and not re.search(rb"[^\x20\x09-\x0D]", text)):
+            new = text.decode() if gone else r[1]
+            out.append(((r[0], new, *r[2:]), len(gone), sum(x[2] for x in gone)))
+    return out

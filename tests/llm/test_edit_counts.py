@@ -3,6 +3,7 @@ import random
 from helpers import documents, empty, frame
 from pyspark.sql import functions as F
 
+from demandloom.llm import edit_counts
 from demandloom.llm.edit_counts import LEAF_CHARS, Tree, apply_edits, edited, leaves_of, mask_edits, sound, with_trees
 from demandloom.llm.tokens import Encoder
 
@@ -57,3 +58,29 @@ def test_rows(spark):
 
 def test_refused_edits():
     assert sound([(3, 2, ""), (-1, 2, ""), (0, 9, ""), (1, 3, "a"), (1, 3, "a"), (2, 4, "b"), (3, 3, "c")], 5) == [(1, 3, "a"), (3, 3, "c")]
+
+
+def test_many_edits_take_the_time_of_the_text():
+    """Twice the text with twice the edits moves about twice the characters."""
+    def moved(n):
+        text = "ab " * n
+        leaves = leaves_of(text)
+        tree = Tree.build([len(x) for x in leaves], [1] * len(leaves))
+        seen = []
+        edits = [(k, k + 1, "c") for k in range(0, len(text), 30)]
+
+        class Counted(edit_counts.Suffix):
+            def take(self, low, high):
+                out = super().take(low, high)
+                seen.append(len(out) + len(self.pieces[-1] if self.pieces else ""))
+                return out
+
+        edit_counts.Suffix, real = Counted, edit_counts.Suffix
+        try:
+            got, _ = edited(text, tree, edits, lambda leaves: [b"1234"] * len(leaves))
+        finally:
+            edit_counts.Suffix = real
+        assert got == "".join("c" if k % 30 == 0 else x for k, x in enumerate(text))
+        return sum(seen)
+
+    assert moved(40_000) < 3 * moved(20_000)

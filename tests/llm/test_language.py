@@ -3,7 +3,8 @@ import random
 import numpy as np
 from helpers import empty, frame
 
-from demandloom.llm.language import fit_temperature, learn, predict
+from demandloom.llm import language
+from demandloom.llm.language import fit_temperature, learn, predict, train_ftrl
 
 SOUNDS = {"en": "the wh ing th ea ou sh".split(), "de": "sch ich ß ung ei der ü".split(), "el": "ου και της αι θ".split()}
 
@@ -21,7 +22,8 @@ def texts(n=240, seed=1):
 def test_held_out_accuracy_and_calibration(spark):
     rows = texts()
     model = learn(frame(spark, rows[:160]))
-    assert model["classes"] == ["de", "el", "en"] and (model["weights"] == 0).mean() > 0.5
+    [(names, weights, heat)] = model["blocks"]
+    assert model["classes"] == names == ["de", "el", "en"] and (weights == 0).mean() > 0.5 and heat > 0
     got = predict(frame(spark, rows[160:]).drop("lang"), model).collect()
     lang = {r[0]: r[2] for r in rows}
     assert sum(r.lang_pred == lang[r.doc_id] for r in got) >= 0.97 * len(got)
@@ -47,9 +49,60 @@ def test_the_sample_is_bounded_and_the_rest_still_counts(spark):
     few = learn(frame(spark, rows), per_language=5)
     assert few["classes"] == ["de", "el", "en"]
     assert np.allclose(few["idf"], learn(frame(spark, rows))["idf"])
-    assert len(learn(frame(spark, rows), most_languages=2)["classes"]) == 2
 
 
 def test_temperature_makes_overconfident_scores_modest():
     scores = np.array([[9.0, 0.0]] * 8 + [[0.0, 9.0]] * 2)
     assert fit_temperature(scores, np.zeros(10, int)) > 3
+
+
+def test_every_one_of_many_languages_is_learned(spark):
+    """Seventy labels in blocks; a hot one has most rows."""
+    rng = random.Random(7)
+    sounds = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) + rng.choice("aeiou") for j in range(6)] for k in range(70)}
+    rows = []
+    for k in range(70 * 9 + 900):
+        lang = f"l{k % 70:02}" if k < 630 else "l03"
+        rows.append((k, " ".join(rng.choices(sounds[lang], k=12)), lang, "s", 0, "", 0, ""))
+    model = learn(frame(spark, rows), per_language=40, block=32)
+    assert model["classes"] == sorted(sounds) and [len(b[0]) for b in model["blocks"]] == [32, 32, 6]
+    fresh = [(5000 + k, " ".join(rng.choices(sounds[f"l{k:02}"], k=12)), f"l{k:02}", "s", 0, "", 0, "") for k in range(70)]
+    got = predict(frame(spark, fresh).drop("lang"), model).collect()
+    right = sum(r.lang_pred == f"l{r.doc_id - 5000:02}" for r in got)
+    assert right >= 68 and all(0 < r.score <= 1 for r in got)
+
+
+def test_the_sample_takes_the_lowest_turns_whatever_is_thinned(spark, monkeypatch):
+    rows = [(k % 400, "the wh", "en" if k % 9 else "de", "s", 0, "", 0, "") for k in range(3000)]
+    df = frame(spark, rows)
+    thin, classes = language._sample(df, "doc_id", "lang", 20)
+    monkeypatch.setattr(language, "SPARE", 10**6)
+    whole, _ = language._sample(df, "doc_id", "lang", 20)
+    assert classes == ["de", "en"] and sorted(map(tuple, thin.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_training_equals_plain_ftrl():
+    rng = random.Random(3)
+    rows = [(sorted(rng.sample(range(30), 4)), [rng.random() for _ in range(4)], rng.randrange(3)) for _ in range(60)]
+    got = train_ftrl([(np.array(at), np.array(x), y) for at, x, y in rows], 3, epochs=2)
+    z, n = [[0.0] * 30 for _ in range(3)], [[0.0] * 30 for _ in range(3)]
+
+    def weight(c, k):
+        if abs(z[c][k]) <= language.L1:
+            return 0.0
+        shrunk = z[c][k] - (language.L1 if z[c][k] > 0 else -language.L1)
+        return -shrunk / ((language.BETA + n[c][k] ** 0.5) / language.ALPHA + language.L2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            w = [[weight(c, k) for k in at] for c in range(3)]
+            odds = [np.exp(sum(a * b for a, b in zip(w[c], x, strict=True))) for c in range(3)]
+            for c in range(3):
+                error = odds[c] / sum(odds) - (c == y)
+                for j, (k, v) in enumerate(zip(at, x, strict=True)):
+                    g = error * v
+                    step = ((n[c][k] + g * g) ** 0.5 - n[c][k] ** 0.5) / language.ALPHA
+                    z[c][k] += g - step * w[c][j]
+                    n[c][k] += g * g
+    assert np.allclose(got[:, :30], [[weight(c, k) for k in range(30)] for c in range(3)])
+    assert not got[:, 30:].any()

@@ -2,7 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
-from helpers import documents, empty, frame, ordered, sentence
+from helpers import documents, empty, frame, ordered, sentence, without_repeats
+from pyspark.sql import functions as F
 
 from demandloom.llm.line_chunks import chunk_spans, dedup_lines
 
@@ -87,3 +88,27 @@ def test_boundaries_resist_shifts():
     whole, shifted = chunks("\n".join(lines)), chunks("\n".join(["new first line", *lines[5:]]))
     assert len(set(shifted) - set(whole)) <= 2
     assert max(c.count(b"\n") for c in whole) >= 2
+
+
+def passages_among_lines(seed: int) -> list[tuple]:
+    """Texts of short and long lines with shared passages, some overlapping, copies and repeats within a text."""
+    rng = random.Random(seed)
+    stock = ["\n".join(sentence(rng, rng.randint(1, 18)) for _ in range(rng.randint(2, 14))) for _ in range(6)]
+    rows = documents(seed, 16)
+    for k in range(40):
+        lines = [sentence(rng, rng.randint(1, 20)) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            part = rng.choice(stock).split("\n")
+            low = rng.randrange(len(part))
+            lines[rng.randint(0, len(lines)) :] = part[low:] if rng.random() < 0.3 else part
+        rows.append((1000 + k, "\n".join(lines) + rng.choice(["", "\n", " \n\n"]), "en", "s", 0, "kept", 7, "t"))
+    return rows
+
+
+def test_equals_plain_python(spark):
+    for seed in (1, 2):
+        rows = passages_among_lines(seed)
+        got = ordered(dedup_lines(frame(spark, rows).withColumn("removed_runs", F.lit("old")), counts="removed_").collect())
+        assert got == ordered([(*r, n, words) for r, n, words in without_repeats(rows)])
+        left = ordered(dedup_lines(frame(spark, rows), drop_emptied=True).collect())
+        assert left == ordered([r for r, _, _ in without_repeats(rows, drop_emptied=True)])

@@ -1,71 +1,38 @@
 """The whole pipeline, and each stage on its own input, against plain Python."""
 
 import random
-import re
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
-from helpers import components, contamination, documents, measures, sentence
+from helpers import components, contamination, documents, measures, sentence, without_repeats
 
 import corpus_pipeline as P
-from demandloom.llm.line_chunks import chunk_spans
 from demandloom.llm.tokens import Encoder
 
-RNG = random.Random(11)
-ITEMS = [(k, sentence(RNG, 40)) for k in range(6)]
+ITEMS = [(k, sentence(random.Random(11 + k), 40)) for k in range(6)]
 
 
 def table():
-    rows = [r[:5] for r in documents(seed=4, n=40) if r[0] is not None]
-    seen, out = set(), []
-    for r in rows:
-        if r[0] not in seen:
-            out.append(r)
-            seen.add(r[0])
-    passage = "\n".join(sentence(RNG, 25) for _ in range(3))
+    rng = random.Random(17)
+    seen = {}
+    for r in documents(seed=4, n=40):
+        if r[0] is not None:
+            seen.setdefault(r[0], r[:5])
+    passage = "\n".join(sentence(rng, 25) for _ in range(3))
+    rows = list(seen.values())
     for k in range(6):
-        out.append((500 + k, f"{sentence(RNG, 60)}\n{passage}\n{sentence(RNG, 60)} {ITEMS[k][1] if k < 3 else ''}", "en", "s1", 0))
-    return sorted(out)
-
-
-def chunks(text):
-    raw = (text or "").encode()
-    data = np.frombuffer(raw, np.uint8)
-    starts, ends, words, _ = chunk_spans(data, np.array([0, len(raw)]), 12, 2, 3)
-    return raw, list(zip(starts.tolist(), ends.tolist(), words.tolist()))
-
-
-def without_repeats(rows):
-    cut = {r[0]: chunks(r[1]) for r in rows}
-    first = {}
-    for key in sorted(cut):
-        raw, found = cut[key]
-        for place, (a, b, _) in enumerate(found):
-            first.setdefault(raw[a:b], (key, place))
-    out = []
-    for r in rows:
-        raw, found = cut[r[0]]
-        runs, run = [], []
-        for place, (a, b, n) in enumerate(found):
-            if first[raw[a:b]] != (r[0], place):
-                run.append((a, b + (raw[b : b + 1] == b"\n"), n))
-            else:
-                runs.append(run)
-                run = []
-        text = raw
-        for run in reversed([*runs, run]):
-            if sum(n for _, _, n in run) >= 40:
-                text = text[: run[0][0]] + text[run[-1][1] :]
-        if text == raw or re.search(rb"[^\x20\x09-\x0D]", text):
-            out.append((r[0], text.decode(), *r[2:]))
-    return out
+        item = ITEMS[k][1] if k < 3 else ""
+        rows.append((500 + k, f"{sentence(rng, 60)}\n{passage}\n{sentence(rng, 60)} {item}", "en", "s1", 0))
+    return sorted(rows)
+
+
+ROWS = table()
 
 
 def stages(rows):
     yield (rows := [r for r in rows if not measures(r[1])[-1]])
-    yield (rows := without_repeats(rows))
+    yield (rows := [r for r, _, _ in without_repeats(rows, drop_emptied=True)])
     found = {k: c for k, _, c, _ in components(rows, 5, 4, 5)}
     yield (rows := [r for r in rows if found[r[0]] == r[0]])
     bad = {k for k, *_, bad in contamination(rows, ITEMS) if bad}
@@ -75,7 +42,7 @@ def stages(rows):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("corpus")
-    docs = spark.createDataFrame(table(), "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
     docs.repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path)
@@ -101,8 +68,8 @@ def check_pieces(got, wanted):
 
 def test_each_stage_on_what_the_last_one_kept(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    columns, kept = docs.columns, len(table())
-    for (name, stage), wanted in zip(P.STAGES, stages(table())):
+    columns, kept = docs.columns, len(ROWS)
+    for (name, stage), wanted in zip(P.STAGES, stages(ROWS)):
         docs = P.staged(stage(spark, docs, folder), "stage")
         assert docs.columns == columns, name
         assert Counter(tuple(r) for r in docs.collect()) == Counter(wanted), name
@@ -111,7 +78,7 @@ def test_each_stage_on_what_the_last_one_kept(spark, folder):
 
 
 def test_run_equals_plain_python(spark, folder):
-    *_, last = stages(table())
+    *_, last = stages(ROWS)
     check_pieces(P.run(spark, folder).collect(), packed(last))
 
 

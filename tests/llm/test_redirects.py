@@ -1,6 +1,11 @@
+import random
+
+import duckdb
 from helpers import ordered
 
-from demandloom.llm.redirects import Rule, alias_edges, judge_urls
+from demandloom.llm.queries import SQL, URL_RULES
+from demandloom.llm.redirects import Rule, alias_edges, judge_urls, with_rules
+from tools.check_oracle import compare
 
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 SCHEMA = "page_id long, url string, html string, node string, host int"
@@ -102,3 +107,54 @@ def test_blocks_reach_relative_aliases(spark):
     ]
     got = judge_urls(spark.createDataFrame(pages, SCHEMA), RULES).collect()
     assert [r.verdict for r in got] == ["block"] * 3
+
+
+def test_rules_as_a_table_decide_alike(spark):
+    rng = random.Random(6)
+    hosts = ["com", "a.com", "b.a.com", "org", "x.org", "example.org:80", ""]
+    paths = ["/", "/d", "/de/", "/de/a", "/e", ""]
+    rules = {(h, p): Rule(rng.choice(["allow", "block"]), h, p) for h in hosts[:-1] for p in paths[:-1] if rng.random() < 0.6}
+    rules = list(rules.values())
+    urls = [(rng.choice(["", "q.", "z.b."]) + h, rng.choice(paths) + rng.choice(["", "x", "/y"])) for h in hosts for _ in range(40)]
+    df = spark.createDataFrame([(*u, k) for k, u in enumerate(urls)], "host string, path string, k int")
+    planned = ordered(with_rules(df, rules).collect())
+    assert planned == ordered(with_rules(df, rules, planned=0).collect())
+    pages = spark.createDataFrame(PAGES, SCHEMA)
+    assert ordered(judge_urls(pages, RULES).collect()) == ordered(judge_urls(pages, RULES, planned=0).collect())
+
+
+def test_a_hundred_thousand_rules(spark):
+    """Also many on one host."""
+    rules = spark.range(100_000).selectExpr(
+        "if(id % 2 = 0, 'block', 'allow') as verdict",
+        "if(id % 4 < 2, 'hot.com', concat('h', id, '.net')) as host",
+        "concat('/', id, '/') as path",
+    )
+    pages = [(k, f"http://www.hot.com/{k * 4 + k % 4}/x", "", "", 0) for k in range(400)]
+    pages += [(1000 + k, f"http://h{k}.net/{k}/", "", "", 0) for k in range(400)]
+    got = judge_urls(spark.createDataFrame(pages, SCHEMA), rules).collect()
+    for r in got:
+        n = r.page_id * 4 + r.page_id % 4 if r.page_id < 1000 else r.page_id - 1000
+        known = n % 4 < 2 if r.page_id < 1000 else n % 4 >= 2
+        host = "hot.com" if r.page_id < 1000 else f"h{n}.net"
+        assert r.rule == (f"{host}/{n}/" if known else None)
+        assert r.verdict == ("block" if known and n % 2 == 0 else "allow")
+
+
+def test_sql_resolves_relative_links_too(spark, tmp_path):
+    pages = [
+        (1, "http://alias.net/p/1.html", canonical("2.html")),
+        (2, "http://alias.net/p/2.html", canonical("./x/../../q?id=3")),
+        (3, "http://alias.net/q?id=3", canonical("http://x.com/de/a")),
+        (4, "http://far.net/a/b", canonical("/../c/.")),
+        (5, "http://far.net/c/", canonical("//x.com/de/b")),
+        (6, "http://far.net/d", canonical("?z")),
+        (7, "http://far.net/d?z", canonical("mailto:x")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    frame = judge_urls(df, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    assert compare(frame, SQL["op4_url_filter"], con) is None
+    assert [r.verdict for r in frame.orderBy("page_id").collect()] == ["block"] * 5 + ["allow"] * 2

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from helpers import ordered
 
+from demandloom.llm import warc
 from demandloom.llm.warc import archive_pages, normalise, read_index, read_records
 
 SCHEMA = "page_id long, url string, html string, payload string, bytes int"
@@ -61,3 +62,24 @@ def test_a_truncated_archive_stops_the_job(spark, tmp_path):
     with pytest.raises(Exception, match="ends"):
         normalise(spark, f"{tmp_path}/raw", f"{tmp_path}/out").collect()
     assert not list((tmp_path / "out").glob("*.warc.gz"))
+
+
+def test_a_file_of_many_records_is_indexed_as_it_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "INDEX_ROWS", 64)
+    (tmp_path / "raw").mkdir()
+    one = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "raw" / "x.gz").write_bytes(gzip.compress("".join(one.format(k) for k in range(1000)).encode()))
+    index = normalise(spark, f"{tmp_path}/raw", f"{tmp_path}/out")
+    assert [r.record_id for r in index.orderBy("offset").collect()] == [f"<r{k}>" for k in range(1000)]
+    assert ordered(read_index(spark, f"{tmp_path}/out").select("offset", "length").collect()) == ordered(
+        index.select("offset", "length").collect()
+    )
+    (tmp_path / "raw" / "y.gz").write_bytes(gzip.compress((one * 300).replace("{}", "s").encode()))
+    held = [b.num_rows for b in warc._normalise_one(f"file:{tmp_path}/raw/y.gz", f"file:{tmp_path}/more")]
+    assert held == [64, 64, 64, 64, 44]
+
+
+def test_keys_must_be_whole_numbers(spark, tmp_path):
+    pages = spark.createDataFrame([("a", "http://a/", "x")], "page_id string, url string, html string")
+    with pytest.raises(ValueError, match="whole number"):
+        archive_pages(pages, str(tmp_path))
