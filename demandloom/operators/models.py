@@ -32,20 +32,31 @@ MAX_BINS = 256
 FEATURES = "features"
 # Fits of one cross-validation that run side by side.
 FITS_AT_ONCE = 5
+# Memory for the statistics of the nodes that are split in one pass over the data. The last levels of a
+# deep forest hold thousands of nodes; with less memory they take many passes.
+NODE_MEMORY_MB = 1024
 
 
 def forest(
     trees: int = FOREST_PARAMS["trees"],
     depth: int = FOREST_PARAMS["depth"],
     seed: int = FOREST_PARAMS["seed"],
+    bootstrap: bool = True,
+    memory_mb: int = NODE_MEMORY_MB,
 ) -> RandomForestRegressor:
-    """Random forest that considers every feature at each split."""
+    """Random forest that considers every feature at each split.
+
+    `memory_mb` bounds what a task holds of the nodes split together. One tree without bootstrap that
+    may grow deep enough predicts the mean of every combination of values.
+    """
     return RandomForestRegressor(
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
+        bootstrap=bootstrap,
         featureSubsetStrategy="all",
         maxBins=MAX_BINS,
+        maxMemoryInMB=memory_mb,
         featuresCol=FEATURES,
     )
 
