@@ -122,3 +122,25 @@ def test_registered_permutations_use_the_published_repeats(spark, folder, monkey
     monkeypatch.setattr(models, "train", lambda *_: None)
     monkeypatch.setattr(models, "permutation_importance", lambda *_, repeats=models.PERMUTATION_REPEATS: repeats)
     assert QUERIES["permutation_importance"](spark, folder) == 10
+
+
+def test_node_memory_fits_every_task_slot_and_keeps_the_trees(spark, frame):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    conf = spark.sparkContext.getConf()
+    heap = models.size_mb(conf.get("spark.driver.memory", "1g"))
+    slots = spark.sparkContext.defaultParallelism
+    share = (heap - models.RESERVED_MB) * (1 - float(conf.get("spark.memory.fraction", "0.6"))) / slots
+    fitted = models.train(frame, COLUMNS, "y", models.forest(trees=5, depth=6))
+    assert fitted.stages[-1].getOrDefault("maxMemoryInMB") * 2 <= share
+    whole = Pipeline(
+        stages=[VectorAssembler(inputCols=COLUMNS, outputCol=models.FEATURES), models.forest(trees=5, depth=6).setLabelCol("y")]
+    ).fit(frame)
+    a = fitted.transform(frame).select("vehicle_id", "prediction").orderBy("vehicle_id").collect()
+    b = whole.transform(frame).select("vehicle_id", "prediction").orderBy("vehicle_id").collect()
+    assert a == b
+
+
+def test_memory_settings_are_read_in_megabytes():
+    assert [models.size_mb(t) for t in ("10g", "512m", "2048", "1gb")] == [10240, 512, 2048, 1024]
