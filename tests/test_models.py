@@ -144,3 +144,11 @@ def test_node_memory_fits_every_task_slot_and_keeps_the_trees(spark, frame):
 
 def test_memory_settings_are_read_in_megabytes():
     assert [models.size_mb(t) for t in ("10g", "512m", "2048", "1gb")] == [10240, 512, 2048, 1024]
+
+
+def test_node_memory_of_a_local_cluster_is_an_executor_slot_share():
+    conf = {"spark.executor.memory": "1800m", "spark.driver.memory": "750m"}.get
+    assert models.slot_share_mb("local-cluster[3,2,3000]", conf, 6, 1024) == 150
+    assert models.slot_share_mb("local[6]", conf, 6, 1024) == 15
+    assert models.slot_share_mb("spark://host:7077", {**{"spark.executor.cores": "4"}, "spark.executor.memory": "10g"}.get, 12, 1024) == 497
+
