@@ -321,7 +321,7 @@ def latency_summary(
     """Mean and percentiles of the two steps together, and the mean of each, per source."""
     timed = df.withColumn("__total", F.col(feature_ms) + F.col(predict_ms))
     means = timed.groupBy(by).agg(
-        F.count("__total").alias("n_iterations"),
+        F.count(F.lit(1)).alias("n_iterations"),
         F.avg("__total").alias("avg_latency_ms"),
         F.avg(feature_ms).alias("avg_features_ms"),
         F.avg(predict_ms).alias("avg_predict_ms"),

@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def with_ranges(
 
 
 def _number(
-    ranged: DataFrame, order: Sequence[str], out: str, total: str | None, by: Sequence[str] = ()
+    ranged: DataFrame, order: Sequence[str | Column], out: str, total: str | None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Position of every row: place inside its range plus the size of all ranges before it.
 
@@ -86,10 +86,18 @@ def _number(
 
 
 def dense_position(
-    df: DataFrame, key: str, out: str = "position", total: str | None = None, by: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    out: str = "position",
+    total: str | None = None,
+    by: Sequence[str] = (),
+    ties: Sequence[Column] = (),
 ) -> DataFrame:
-    """Number the rows 0..n-1 in the order of a unique numeric key, anew in every group of `by`."""
-    return _number(with_ranges(df, [key], [_RANGE]), [key], out, total, by)
+    """Number the rows 0..n-1 in the order of a unique numeric key, anew in every group of `by`.
+
+    Where the key repeats, `ties` order its rows.
+    """
+    return _number(with_ranges(df, [key], [_RANGE]), [key, *ties], out, total, by)
 
 
 def shuffled_position(df: DataFrame, key: str, seed: int, out: str = "position") -> DataFrame:

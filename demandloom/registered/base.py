@@ -51,8 +51,16 @@ TABLES = {
     "champions": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY version DESC) AS r
         FROM registry_versions WHERE segment = 'BUILDING' OR (segment <> 'AUTOMOBILE' AND (balance < 1000 OR balance > 7000)))
         WHERE r = 1""",
+    "samples": """SELECT event_type, value,
+        row_number() OVER (PARTITION BY event_type ORDER BY event_id, value NULLS LAST) - 1 AS iteration FROM events""",
     "latencies": """SELECT event_type AS source, event_id AS iteration, value AS feature_ms,
-        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS predict_ms FROM events""",
+        CAST(json_extract_string(props, '$.k') AS DOUBLE) AS predict_ms FROM events
+        UNION ALL
+        SELECT 'raw', iteration, f.value, p.value FROM (FROM samples WHERE event_type = 'click') f
+        FULL JOIN (FROM samples WHERE event_type = 'view') p USING (iteration)
+        UNION ALL
+        SELECT 'online_store', iteration, f.value, p.value FROM (FROM samples WHERE event_type = 'purchase') f
+        FULL JOIN (FROM samples WHERE event_type = 'signup') p USING (iteration)""",
     "folds": """SELECT vehicle_id, num_reservations, num_images / 3.0 AS prediction,
         CAST(ntile(5) OVER (ORDER BY vehicle_id) - 1 AS INTEGER) AS fold FROM offline""",
 }
@@ -64,6 +72,7 @@ NEEDS = {
     "online": ["features"],
     "explored": ["listings", "counts"],
     "resolved": ["listings", "offline", "online"],
+    "latencies": ["samples"],
     "candidates": ["registry_versions"],
     "champions": ["registry_versions"],
     "folds": ["offline"],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from demandloom.functions import price_diff_of, price_ratio_of
 from demandloom.operators.features import feature_build, left_join_counts
+from demandloom.operators.ranges import dense_position
 from demandloom.schemas import LISTING_VIEW
 
 STAMP = "2001-12-01 00:00:00"
@@ -70,14 +71,39 @@ def explored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latencies(spark: SparkSession, folder: str) -> DataFrame:
-    """Both timings of every event; its type is the source."""
-    k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, folder, "events").select(
+    """Timings of the two request paths, and both timings of every event, its type being the source.
+
+    A path's n-th feature sample meets its n-th predict sample; where one list is longer, its rest stays
+    without a partner.
+    """
+    events = table(spark, folder, "events")
+    single = events.select(
         F.col("event_type").alias("source"),
         F.col("event_id").alias("iteration"),
         F.col("value").alias("feature_ms"),
-        k.alias("predict_ms"),
+        F.get_json_object("props", "$.k").cast("double").alias("predict_ms"),
     )
+    kinds = ["click", "view", "purchase", "signup"]
+    samples = events.where(F.col("event_type").isin(kinds)).select("event_id", "event_type", "value")
+    ties = [F.col("value").asc_nulls_last()]
+    numbered = dense_position(samples, "event_id", "iteration", by=["event_type"], ties=ties)
+
+    def sample(kind: str) -> list[Column]:
+        held = F.col("event_type") == kind
+        return [F.max(F.when(held, F.col("value"))).alias(kind), F.count_if(held).alias(f"has_{kind}")]
+
+    def timing(source: str, feature: str, predict: str) -> Column:
+        return F.struct(
+            F.lit(source).alias("source"),
+            F.col(feature).alias("feature_ms"),
+            F.col(predict).alias("predict_ms"),
+            (F.col(f"has_{feature}") + F.col(f"has_{predict}") > 0).alias("held"),
+        )
+
+    wide = numbered.groupBy("iteration").agg(*[c for kind in kinds for c in sample(kind)])
+    pairs = F.array(timing("raw", "click", "view"), timing("online_store", "purchase", "signup"))
+    paired = wide.select("iteration", F.inline(pairs)).where("held").drop("held")
+    return single.unionByName(paired)
 
 
 def _model() -> Column:
