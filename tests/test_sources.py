@@ -138,3 +138,38 @@ def test_shared_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert split_count(spark) == 64
+
+
+def test_every_timing_counts_and_samples_pair_by_position(spark, tmp_path):
+    import datetime
+    from decimal import ROUND_HALF_UP, Decimal
+
+    import numpy as np
+
+    from demandloom.registered import QUERIES
+
+    kinds = ["view"] * 7 + ["click"] * 4 + ["purchase"] * 2 + ["signup"] * 5 + ["error"] * 3
+    day = datetime.datetime(2025, 3, 4)
+    rows = [(i * 13 % 97, day, 1, kind, float(i * i % 31), f'{{"k": {i}}}') for i, kind in enumerate(kinds)]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "events.parquet"))
+
+    def samples(kind):
+        return [r[4] for r in sorted(rows) if r[3] == kind]
+
+    def shown(values):
+        return float(Decimal(repr(round(float(np.mean(values)), 9))).quantize(Decimal("0.001"), ROUND_HALF_UP))
+
+    got = {r["source"]: r for r in QUERIES["latency_summary"](spark, str(tmp_path)).collect()}
+    assert set(got) == {*kinds, "raw", "online_store"}
+    means = {}
+    for source, feature, predict in [("raw", "click", "view"), ("online_store", "purchase", "signup")]:
+        f, p = samples(feature), samples(predict)
+        means[source] = shown([a + b for a, b in zip(f, p)])
+        mine = got[source]
+        assert mine["n_iterations"] == max(len(f), len(p))
+        assert [mine["avg_latency_ms"], mine["avg_features_ms"], mine["avg_predict_ms"]] == [means[source], shown(f), shown(p)]
+    for kind in set(kinds):
+        assert got[kind]["n_iterations"] == kinds.count(kind)
+    compared = QUERIES["latency_compare"](spark, str(tmp_path)).first()
+    assert [compared["raw_avg"], compared["store_avg"]] == [means["raw"], means["online_store"]]
