@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,71 @@ def test_node_memory_of_a_local_cluster_is_an_executor_slot_share():
     assert models.slot_share_mb("local[6]", conf, 6, 1024) == 15
     assert models.slot_share_mb("spark://host:7077", {**{"spark.executor.cores": "4"}, "spark.executor.memory": "10g"}.get, 12, 1024) == 497
 
+
+
+def test_large_forest_fits_are_dealt_to_all_slots_and_keep_their_trees(spark, frame, monkeypatch):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+
+    monkeypatch.setattr(models, "SPREAD_LEAST", 10)
+    slots = spark.sparkContext.defaultParallelism
+    narrow = frame.coalesce(1)
+    fitted = models.train(narrow, COLUMNS, "y", models.forest(trees=5, depth=6)).stages[-1]
+    assert fitted.getOrDefault("cacheNodeIds")
+    plain = Pipeline(
+        stages=[VectorAssembler(inputCols=COLUMNS, outputCol="features"), models.forest(trees=5, depth=6).copy()]
+    )
+    plain.getStages()[-1].setLabelCol("y")
+    same = plain.fit(narrow.select(*COLUMNS, "y").repartition(slots)).stages[-1]
+    assert not same.getOrDefault("cacheNodeIds") and same.toDebugString.split("\n", 1)[1] == fitted.toDebugString.split("\n", 1)[1]
+
+
+def test_fits_run_side_by_side_as_far_as_their_rows_fit():
+    held = 1_000 * 200 * (models.DRAW_BYTES + models.NODE_BYTES)
+    assert [models.fits_at_once(x * held, 1_000, 200, 5) for x in (0, 1, 3, 9)] == [1, 1, 3, 5]
+    assert [models.fit_tasks(1_000, 6, n) for n in (1, 5, 6, 9)] == [6, 2, 1, 1]
+    assert models.fit_tasks(4 * models.FIT_ROWS + 1, 2, 2) == 5
+
+
+def test_storage_is_that_of_the_executors(spark):
+    heap = models.size_mb(spark.sparkContext.getConf().get("spark.driver.memory", "1g")) * 2**20
+    assert 0 < models.storage_bytes(spark) < heap
+
+
+def test_metrics_predict_every_row_once(spark, frame, model):
+    scored = model.transform(frame)
+    for by in ([], ["b"]):
+        plan = models.regression_metrics(scored, "y", "prediction", by)._jdf.queryExecution().executedPlan().toString()
+        assert "UDF(" in plan and not [x for x in plan.split("\n") if "Filter" in x and "UDF(" in x]
+
+
+def test_permutations_equal_scores_of_every_shuffled_row(spark, frame, model, monkeypatch):
+    """With a feature of two values, whose values are scored once, and rows dealt out anew."""
+    from demandloom.operators.ranges import dense_position, shuffled_position
+
+    monkeypatch.setattr(models, "SPREAD_LEAST", 100)
+    few = frame.withColumn("b", F.when(F.col("b") > F.lit(0), 1.0).otherwise(-0.0))
+    scored = []
+    predict = type(model.stages[-1]).transform
+    monkeypatch.setattr(type(model.stages[-1]), "transform", lambda m, df: scored.append(df) or predict(m, df))
+    got = {r.feature: r for r in models.permutation_importance(model, few, COLUMNS, "y", repeats=4).collect()}
+    n = few.count()
+    assert n < scored[-1].count() <= n * (1 + 4 * (len(COLUMNS) - 1) + 1)
+    rows = dense_position(few.select("vehicle_id", "y", *COLUMNS), "vehicle_id", "pos").collect()
+    y = np.array([r.y for r in rows])
+    total = ((y - y.mean()) ** 2).sum()
+
+    def r2(values):
+        made = spark.createDataFrame([(int(k), *map(float, v)) for k, v in enumerate(values)], ["k", *COLUMNS])
+        found = {r.k: r.prediction for r in model.transform(made).collect()}
+        return 1 - ((y - np.array([found[k] for k in range(len(values))])) ** 2).sum() / total
+
+    own = np.array([[r[c] for c in COLUMNS] for r in rows], float)
+    for i, c in enumerate(COLUMNS):
+        drops = []
+        for r in range(4):
+            donor = shuffled_position(few.select("vehicle_id", c), "vehicle_id", 42 + r, "pos").orderBy("pos").collect()
+            values = own.copy()
+            values[np.argsort([x.pos for x in rows]), i] = [x[c] for x in donor]
+            drops.append(r2(own) - r2(values))
+        assert np.allclose([got[c].importance_mean, got[c].importance_std], [np.mean(drops), np.std(drops)])
